@@ -18,6 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from textloom.llm.common import map_arrow, text_or_empty
 
@@ -192,7 +193,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
             added = [pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*keep, "score", "predicted"])
 
-    schema = docs.schema.add("score", "double").add("predicted", "integer")
+    schema = T.StructType([*docs.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
     return map_arrow(docs, run, schema)
 
 

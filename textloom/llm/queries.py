@@ -7,10 +7,18 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import byte_bpe, packing, pii, quality
+from textloom.llm import byte_bpe, fingerprints, packing, pii, quality, urls
 from textloom.llm.common import table
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprint_edits(table(spark, sf_dir, "documents"))
+
+
+def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urls.judge(table(spark, sf_dir, "pages"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -28,9 +36,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
+    "op2_urls": op2_urls,
     "op4_pii": op4_pii,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
     "op9_quality": op9_quality,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op2_urls": urls.oracle()}
