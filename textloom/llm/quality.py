@@ -26,6 +26,7 @@ from textloom.llm.common import map_arrow, text_or_empty
 MAX_TRAINING_ROWS = 3000
 BUCKETS, DIMENSIONS, NONZERO, WINDOW = 1 << 15, 32, 4, 2
 HIDDEN, EPOCHS, SEED = 24, 400, 7
+FEATURES = 4 * DIMENSIONS + 4
 THRESHOLD = 0.3
 KEPT_WORDS = 400_000
 
@@ -88,14 +89,18 @@ def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
 
 
 def pooled(vectors: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """Means over words and over shapes, the spread of both, and the length's logarithm."""
-    out = np.zeros(4 * DIMENSIONS + 1, np.float32)
+    """Means over words and over shapes, the spread of both, how often a word comes again one to three places on, and the length's logarithm."""
+    out = np.zeros(FEATURES, np.float32)
     if len(buckets):
         for k in (0, 1):
             rows = vectors[buckets[k::2]]
             mean = rows.mean(0)
             out[2 * k * DIMENSIONS : (2 * k + 1) * DIMENSIONS] = mean
             out[(2 * k + 1) * DIMENSIONS : (2 * k + 2) * DIMENSIONS] = np.sqrt(np.maximum(np.einsum("ij,ij->j", rows, rows) / len(rows) - mean * mean, 0))
+        words = buckets[0::2]
+        for gap in (1, 2, 3):
+            if len(words) > gap:
+                out[4 * DIMENSIONS + gap - 1] = (words[gap:] == words[:-gap]).mean()
     out[-1] = np.log1p(len(buckets) / 2)
     return out
 
@@ -125,7 +130,7 @@ def train(texts: list[str], labels: list[int]) -> Network:
     buckets = [_buckets_of(cache, text) for text in texts]
     vectors = word_vectors(buckets)
     y = np.array(labels, np.float64)
-    x = np.array([pooled(vectors, b) for b in buckets], np.float64).reshape(len(y), 4 * DIMENSIONS + 1)
+    x = np.array([pooled(vectors, b) for b in buckets], np.float64).reshape(len(y), FEATURES)
     center, scale = (x.mean(0), x.std(0) + 1e-3) if len(y) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     rng = np.random.default_rng(SEED)
     net = Network(vectors, center, scale, rng.normal(0, 0.1, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
@@ -189,7 +194,7 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
         net, cache = sent.value, Buckets()
         for batch in batches:
             features = [pooled(net.vectors, _buckets_of(cache, text or "")) for text in batch.column(at).to_pylist()]
-            scores = net.scores(np.array(features).reshape(len(features), 4 * DIMENSIONS + 1))
+            scores = net.scores(np.array(features).reshape(len(features), FEATURES))
             added = [pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*keep, "score", "predicted"])
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import byte_bpe, fingerprints, packing, pii, quality, urls
+from textloom.llm import byte_bpe, fingerprints, packing, pii, quality, shingle_join, urls
 from textloom.llm.common import table
 
 
@@ -31,6 +31,10 @@ def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.link_components(table(spark, sf_dir, "documents"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -41,6 +45,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_pii": op4_pii,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
+    "op7_ngram_join": op7_ngram_join,
     "op9_quality": op9_quality,
 }
 ORACLES: dict[str, str] = {"op2_urls": urls.oracle()}
