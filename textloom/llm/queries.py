@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import byte_bpe, fingerprints, packing, pii, quality, shingle_join, urls
+from textloom.llm import ann, byte_bpe, fingerprints, id_files, packing, pii, quality, shingle_join, urls, warc
 from textloom.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
+def op3_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find_pii(table(spark, sf_dir, "documents"))
 
@@ -35,17 +39,28 @@ def op7_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.link_components(table(spark, sf_dir, "documents"))
 
 
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.archive_round_trip(table(spark, sf_dir, "pages"))
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.file_round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_fingerprints": op1_fingerprints,
     "op2_urls": op2_urls,
+    "op3_ann": op3_ann,
     "op4_pii": op4_pii,
     "op5_byte_bpe": op5_byte_bpe,
     "op6_packing": op6_packing,
     "op7_ngram_join": op7_ngram_join,
+    "op8_warc": op8_warc,
     "op9_quality": op9_quality,
+    "op10_id_files": op10_id_files,
 }
 ORACLES: dict[str, str] = {"op2_urls": urls.oracle()}
