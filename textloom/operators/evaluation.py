@@ -1,0 +1,114 @@
+"""Fidelity, comparison, statistics and splits as DataFrame operators."""
+
+from __future__ import annotations
+
+import random
+
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from textloom.functions import text as T
+
+
+def number_fidelity(rows: DataFrame, keys: list[str], source: str, hypothesis: str) -> DataFrame:
+    """keys, total, preserved: numbers of source, and how many of them, as a multiset, hypothesis has."""
+    both = None
+    for name, a, b in ((source, 1, 0), (hypothesis, 0, 1)):
+        one = rows.select(*keys, F.explode(T.numbers(F.col(name))).alias("n")).select(*keys, F.array_join(T.digit_groups(F.col("n")), " ").alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b"))
+        both = one if both is None else both.union(one)
+    counts = both.groupBy(*keys, "n").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
+    return counts.groupBy(*keys).agg(F.sum("a").cast("long").alias("total"), F.sum(F.least("a", "b")).cast("long").alias("preserved"))
+
+
+def glossary_hits(segments: DataFrame, glossary: DataFrame, text: str) -> DataFrame:
+    """Segments with every glossary term (a regular expression) that they hold; the glossary is a configured list and is broadcast."""
+    return segments.join(F.broadcast(glossary), F.expr(f"{text} rlike concat('(?i)\\\\b(?:', en, ')\\\\b')"))
+
+
+def repetition_flags(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
+    """keys, repeated: four equal words in a row, or a run of four words three times.
+
+    Each array is a column of its own before a lambda reads it, so none is built again for each element.
+    """
+    grams = rows.select(*keys, T.words(F.col(text)).alias("w"))
+    starts = F.when(F.size("w") >= 4, F.sequence(F.lit(1), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
+    grams = grams.select(*keys, "w", F.transform(starts, lambda i: F.array_join(F.slice("w", i, 4), " ")).alias("g"))
+    ordered = F.sort_array(F.coalesce("g", F.array().cast("array<string>")))
+    long = grams.select(*keys, F.explode_outer(F.arrays_zip(ordered.alias("g"), F.slice(ordered, F.lit(3), F.greatest(F.size(ordered), F.lit(0))).alias("two_on"))).alias("x"))
+    same_words = F.regexp_extract("x.g", r"^(\S+)(?: \1){3}$", 1) != ""
+    found = F.bool_or(F.coalesce((F.col("x.g") == F.col("x.two_on")) | same_words, F.lit(False)))
+    return long.groupBy(*keys).agg(found.alias("repeated"))
+
+
+def outcome(delta: Column, band: float = 2.0) -> Column:
+    return F.when(delta > band, "win").when(delta < -band, "loss").otherwise("tie")
+
+
+def outcome_pivot(rows: DataFrame, key: str) -> DataFrame:
+    return rows.groupBy(key).pivot("outcome", ["win", "tie", "loss"]).count().na.fill(0)
+
+
+def histogram(rows: DataFrame, score: str, bins: int = 10) -> DataFrame:
+    """bin, n for all bins, empty ones too."""
+    clamped = F.least(F.greatest(F.col(score), F.lit(0.0)), F.lit(0.999999))
+    counts = rows.groupBy(F.floor(clamped / (1.0 / bins)).alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    every = rows.sparkSession.range(bins).withColumnRenamed("id", "bin")
+    return every.join(counts, "bin", "left").select("bin", F.coalesce("n", F.lit(0)).cast("long").alias("n"))
+
+
+def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
+    p = k / F.nullif(n, F.lit(0))
+    center, spread = p + z * z / (2 * n), z * F.sqrt(p * (1 - p) / F.nullif(n, F.lit(0)) + z * z / (4.0 * n * n))
+    low, high = (center - spread) / (1 + z * z / n), (center + spread) / (1 + z * z / n)
+    return tuple(F.when(n > 0, F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).otherwise(0.0) for x in (low, high))
+
+
+def make_split(ids: list[str], seed: int, ratios: tuple[float, float, float]) -> dict[str, list[str]]:
+    """A seeded shuffle of a short list of ids, cut to train, dev and test, each in numeric order."""
+    order = sorted(ids, key=int)
+    random.Random(seed).shuffle(order)
+    dev, test = round(len(order) * ratios[1]), round(len(order) * ratios[2])
+    cut = {"dev": order[:dev], "test": order[dev : dev + test], "train": order[dev + test :]}
+    return {k: sorted(v, key=int) for k, v in cut.items()}
+
+
+def hash_split(docs: DataFrame, seed: int, dev: float, test: float) -> DataFrame:
+    """doc_id, split by a hash of seed and id: the same id always falls in the same split, without a sort."""
+    h = F.conv(F.substring(F.md5(F.concat(F.lit(f"{seed}:"), F.col("doc_id").cast("string"))), 1, 8), 16, 10).cast("long") / float(1 << 32)
+    return docs.select("doc_id", F.when(h < dev, "dev").when(h < dev + test, "test").otherwise("train").alias("split"))
+
+
+def overlapping(splits: DataFrame) -> DataFrame:
+    """Ids in more than one split, or more than once in one; must be empty."""
+    return splits.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+
+
+def hash_sample(rows: DataFrame, key: str, seed: int, k: int) -> DataFrame:
+    """k rows without replacement: those of least hash."""
+    h = F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    return rows.withColumn("h", h).orderBy("h", key).limit(k).drop("h")
+
+
+def early_stop(history: DataFrame, patience: int) -> DataFrame:
+    """run, best_epoch, stopped_at: strict improvement resets the count of bad epochs; epoch 0 is no candidate."""
+    seen = Window.partitionBy("run").orderBy("epoch")
+    best_before = F.coalesce(F.max("score").over(seen.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1.0))
+    rows = history.where("epoch > 0").withColumn("better", (F.col("score") > best_before).cast("int"))
+    rows = rows.withColumn("streak", F.sum("better").over(seen)).withColumn("bad", F.row_number().over(Window.partitionBy("run", "streak").orderBy("epoch")) - 1)
+    stop = rows.groupBy("run").agg(F.coalesce(F.min(F.when(F.col("bad") >= patience, F.col("epoch"))), F.max("epoch")).alias("stopped_at"))
+    best = rows.join(stop, "run").where("better = 1 AND epoch <= stopped_at").groupBy("run").agg(F.max("epoch").alias("best_epoch"))
+    return stop.join(best, "run", "left").select("run", "best_epoch", "stopped_at")
+
+
+def vocabulary_merge(base: DataFrame, extra: DataFrame) -> DataFrame:
+    """piece, new_id: extra's pieces that base lacks, each once, in extra's order, after base's last id."""
+    start = base.agg((F.max("piece_id") + 1).alias("start"))
+    new = extra.join(base.select("piece"), "piece", "left_anti").groupBy("piece").agg(F.min("piece_id").alias("piece_id"))
+    return new.crossJoin(F.broadcast(start)).select("piece", (F.col("start") + F.row_number().over(Window.orderBy("piece_id")) - 1).cast("long").alias("new_id"))
+
+
+def mean_vectors(edges: DataFrame, vectors: DataFrame) -> DataFrame:
+    """new_id, dim, value: the mean of the old vectors that edges(new_id, old_id) names, repeats counted."""
+    parts = edges.join(vectors, edges.old_id == vectors.vec_id).select("new_id", F.posexplode("embedding").alias("dim", "x"))
+    return parts.groupBy("new_id", "dim").agg(F.avg(F.col("x").cast("double")).alias("value"))

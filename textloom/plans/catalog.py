@@ -5,6 +5,256 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+from textloom.functions import text as T
+from textloom.operators import align, evaluation, metrics, segment
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLES[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents")
+
+
+# A small glossary for the driver's prose, and illustrative prices a million words.
+GLOSSARY = (("the", "article"), ("and|or", "conjunction"), ("license", "legal-term"), ("released", "name"), ("worthless|idiot", "insult"))
+PRICES = (("small", 0.5, 1.5), ("large", 2.0, 5.0))
+
+_LINES = r"""
+WITH raw AS (SELECT doc_id, i, regexp_replace(list_extract(string_split(text, chr(10)), i), '^\s+|\s+$', '', 'g') AS line
+  FROM documents, LATERAL (SELECT unnest(range(1, len(string_split(text, chr(10))) + 1)) AS i)),
+kept AS (SELECT *, coalesce(lag(line) OVER (PARTITION BY doc_id ORDER BY i) = '', false) AS gap FROM raw WHERE NOT regexp_matches(line, '^[\p{Nd}²³¹⁰⁴-⁹₀-₉]+$')),
+solid AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY i) AS prev FROM kept WHERE line <> ''),
+started AS (SELECT *, coalesce(prev IS NOT NULL AND (regexp_matches(line, '^(\d{1,3}(\.\d{1,3})*\.?|\([ivxlc]+\)|[ivxlc]+\.|\([a-z]\)|[a-z]\))(\s|$)') OR gap AND right(prev, 1) IN ('.','?','!',':',';','।','"','”','’')), false) AS starts FROM solid),
+numbered AS (SELECT *, CAST(sum(CAST(starts AS INT)) OVER (PARTITION BY doc_id ORDER BY i) AS BIGINT) AS seg_idx,
+  CASE WHEN starts OR prev IS NULL THEN '' WHEN ends_with(prev, '-') AND regexp_matches(line, '^[a-z]') THEN '' ELSE ' ' END AS glue FROM started),
+segments AS (SELECT doc_id, seg_idx, trim(regexp_replace(string_agg(glue || line, '' ORDER BY i), '\s+', ' ', 'g')) AS segment FROM numbered GROUP BY 1, 2)
+"""
+
+
+@query(_LINES + "SELECT doc_id, seg_idx, segment FROM segments")
+def unwrap_segments(spark, sf_dir):
+    return segment.unwrap(_docs(spark, sf_dir))
+
+
+@query(_LINES + r"""
+SELECT lang, CAST(count(*) AS BIGINT) AS segments, CAST(sum(len(list_filter(string_split_regex(segment, '\s+'), lambda w: w <> ''))) AS BIGINT) AS words,
+  CAST(sum(length(regexp_replace(segment, '\s', '', 'g'))) AS BIGINT) AS chars FROM segments JOIN documents USING (doc_id) GROUP BY lang""")
+def sentence_stats(spark, sf_dir):
+    segments = segment.unwrap(_docs(spark, sf_dir)).join(_docs(spark, sf_dir).select("doc_id", "lang"), "doc_id")
+    s = F.col("segment")
+    return segments.groupBy("lang").agg(F.count(F.lit(1)).alias("segments"), F.sum(T.count_words(s)).alias("words"), F.sum(T.count_chars(s)).alias("chars"))
+
+
+@query()
+def sentences(spark, sf_dir):
+    return segment.split_sentences(segment.unwrap(_docs(spark, sf_dir)))
+
+
+@query(r"""SELECT doc_id, regexp_replace(regexp_replace(regexp_replace(t, '(?m)^([ \t]*\(?)[li]{3,}([.)])', '\1iii\2', 'g'), '(?m)^([ \t]*\(?)[li]{2}([.)])', '\1ii\2', 'g'), '(?m)^([ \t]*\(?)[li]([.)])', '\1i\2', 'g') AS cleaned
+FROM (SELECT doc_id, translate(nfc_normalize(regexp_replace(text, '\r\n?', chr(10), 'g')), chr(160) || chr(8203) || chr(8204) || chr(8205) || chr(65279) || chr(173), ' ') AS t FROM documents)""")
+def clean_text(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", T.clean(F.col("text"), F.lit("en")).alias("cleaned"))
+
+
+@query(r"""SELECT lang, source, sum(w)::BIGINT AS words, sum(c)::BIGINT AS chars, sum(b)::BIGINT AS bytes, round(sum(c) / sum(w), 6) AS chars_per_word, round(100.0 * count(*) FILTER (w > 256) / count(*), 6) AS pct_over_256
+FROM (SELECT lang, source, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w, length(regexp_replace(text, '\s', '', 'g')) AS c, strlen(text) AS b FROM documents) GROUP BY 1, 2""")
+def corpus_ratios(spark, sf_dir):
+    t = F.col("text")
+    rows = _docs(spark, sf_dir).select("lang", "source", T.count_words(t).alias("w"), T.count_chars(t).alias("c"), F.octet_length(t).cast("long").alias("b"))
+    w, c = F.sum("w"), F.sum("c")
+    over = F.round(100.0 * F.count_if(F.col("w") > 256) / F.count(F.lit(1)), 6)
+    return rows.groupBy("lang", "source").agg(w.alias("words"), c.alias("chars"), F.sum("b").alias("bytes"), F.round(c / w, 6).alias("chars_per_word"), over.alias("pct_over_256"))
+
+
+@query(r"""SELECT name, lang, round(sum(w) * input / 1e6 + sum(w) * output / 1e6, 6) AS usd
+FROM (SELECT lang, len(list_filter(string_split_regex(text, '\s+'), lambda w: w <> '')) AS w FROM documents), (VALUES ('small', 0.5::DOUBLE, 1.5::DOUBLE), ('large', 2.0, 5.0)) p(name, input, output) GROUP BY name, lang, input, output""")
+def cost_model(spark, sf_dir):
+    counts = _docs(spark, sf_dir).groupBy("lang").agg(F.sum(T.count_words(F.col("text"))).alias("w"))
+    prices = spark.createDataFrame(list(PRICES), "name string, input double, output double")
+    return counts.crossJoin(F.broadcast(prices)).select("name", "lang", F.round(F.col("w") * F.col("input") / 1e6 + F.col("w") * F.col("output") / 1e6, 6).alias("usd"))
+
+
+@query(r"""SELECT doc_id, unnest(regexp_extract_all(text, '\d+(?:[./,\-]\d+)*')) AS number FROM documents""")
+def numbers(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id", F.explode(T.numbers(F.col("text"))).alias("number"))
+
+
+@query(r"""WITH t AS (SELECT conv_id, turn, text AS hyp, lag(text) OVER (PARTITION BY conv_id ORDER BY turn) AS src FROM conversations),
+n AS (SELECT conv_id, turn, unnest(regexp_extract_all(src, '\d+(?:[./,\-]\d+)*')) AS x, 1 AS a, 0 AS b FROM t UNION ALL SELECT conv_id, turn, unnest(regexp_extract_all(hyp, '\d+(?:[./,\-]\d+)*')), 0, 1 FROM t),
+k AS (SELECT conv_id, turn, sum(a) AS a, sum(b) AS b FROM n GROUP BY conv_id, turn, trim(regexp_replace(x, '[^0-9]+', ' ', 'g')))
+SELECT conv_id, turn, CAST(sum(a) AS BIGINT) AS total, CAST(sum(least(a, b)) AS BIGINT) AS preserved FROM k GROUP BY 1, 2""")
+def number_fidelity(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").withColumn("src", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn")))
+    return evaluation.number_fidelity(turns, ["conv_id", "turn"], "src", "text")
+
+
+@query("""SELECT category, CAST(count(*) AS BIGINT) AS hits FROM documents JOIN (VALUES """ + ", ".join(f"('{e}', '{c}')" for e, c in GLOSSARY) + r""") g(en, category)
+ON regexp_matches(text, '(?i)\b(?:' || en || ')\b') GROUP BY category""")
+def glossary_hits(spark, sf_dir):
+    glossary = spark.createDataFrame(list(GLOSSARY), "en string, category string")
+    return evaluation.glossary_hits(_docs(spark, sf_dir), glossary, "text").groupBy("category").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query(r"""WITH w AS (SELECT conv_id, turn, list_filter(string_split_regex(text, '\s+'), lambda x: x <> '') AS w FROM conversations),
+g AS (SELECT conv_id, turn, unnest(list_transform(range(1, len(w) - 2), lambda i: w[i:i+3])) AS g FROM w),
+k AS (SELECT conv_id, turn, g, count(*) AS n FROM g GROUP BY 1, 2, 3),
+r AS (SELECT conv_id, turn, bool_or(n >= 3 OR g[1] = g[2] AND g[2] = g[3] AND g[3] = g[4]) AS repeated FROM k GROUP BY 1, 2)
+SELECT conv_id, turn, coalesce(repeated, false) AS repeated FROM conversations LEFT JOIN r USING (conv_id, turn)""")
+def repetition(spark, sf_dir):
+    return evaluation.repetition_flags(_table(spark, sf_dir, "conversations"), ["conv_id", "turn"], "text")
+
+
+_RATIO = r"""WITH t AS (SELECT conv_id, turn, length(regexp_replace(text, '\s', '', 'g')) AS h, length(regexp_replace(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '\s', '', 'g')) AS r FROM conversations),
+q AS (SELECT conv_id, turn, CASE WHEN r > 0 THEN h / r WHEN h = 0 THEN 1.0 ELSE 'inf'::DOUBLE END AS ratio FROM t WHERE r IS NOT NULL) """
+
+
+@query(_RATIO + "SELECT conv_id, turn, round(ratio, 6) AS ratio, ratio < 0.6 AS omission, ratio > 1.6 AS addition FROM q")
+def length_flags(spark, sf_dir):
+    turns = _table(spark, sf_dir, "conversations").withColumn("ref", F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))).where("ref IS NOT NULL")
+    rows = turns.select("conv_id", "turn", T.length_ratio(F.col("text"), F.col("ref")).alias("r"))
+    return rows.select("conv_id", "turn", F.round("r", 6).alias("ratio"), T.omission(F.col("r")).alias("omission"), T.addition(F.col("r")).alias("addition"))
+
+
+@query("""WITH d AS (SELECT l_orderkey, l_linenumber, l_quantity - 25 AS delta, CASE WHEN l_quantity <= 20 THEN '<=20' WHEN l_quantity <= 40 THEN '21-40' ELSE '>40' END AS bucket FROM lineitem)
+SELECT bucket, CAST(count(*) FILTER (delta > 2) AS BIGINT) AS win, CAST(count(*) FILTER (delta BETWEEN -2 AND 2) AS BIGINT) AS tie, CAST(count(*) FILTER (delta < -2) AS BIGINT) AS loss FROM d GROUP BY bucket""")
+def outcome_pivot(spark, sf_dir):
+    q = F.col("l_quantity")
+    rows = _table(spark, sf_dir, "lineitem").select(T.length_bucket(q).alias("bucket"), evaluation.outcome(q - 25).alias("outcome"))
+    return evaluation.outcome_pivot(rows, "bucket")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 10")
+def top_gains(spark, sf_dir):
+    return _table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice").orderBy(F.desc("l_extendedprice"), "l_orderkey", "l_linenumber").limit(10)
+
+
+@query("SELECT n, CAST(count(*) AS BIGINT) AS lines, round(avg(l_discount), 6) AS mean FROM lineitem, (VALUES (0), (5), (10)) t(n) WHERE l_quantity >= n GROUP BY n")
+def robustness(spark, sf_dir):
+    steps = spark.createDataFrame([(0,), (5,), (10,)], "n int")
+    rows = _table(spark, sf_dir, "lineitem").join(F.broadcast(steps), F.col("l_quantity") >= F.col("n"))
+    return rows.groupBy("n").agg(F.count(F.lit(1)).alias("lines"), F.round(F.avg("l_discount"), 6).alias("mean"))
+
+
+@query("SELECT unnest([0.05, 0.25, 0.5, 0.75, 0.95])::DOUBLE AS q, unnest(list_transform(quantile_cont(l_extendedprice, [0.05, 0.25, 0.5, 0.75, 0.95]), lambda x: round(x, 4))) AS v FROM lineitem")
+def score_quantiles(spark, sf_dir):
+    at = [0.05, 0.25, 0.5, 0.75, 0.95]
+    exact = _table(spark, sf_dir, "lineitem").agg(F.percentile("l_extendedprice", F.array(*map(F.lit, at))).alias("v"))
+    return exact.select(F.explode(F.arrays_zip(F.array(*map(F.lit, at)).alias("q"), "v")).alias("x")).select(F.col("x.q").alias("q"), F.round("x.v", 4).alias("v"))
+
+
+@query("SELECT bin, CAST(count(l_tax) AS BIGINT) AS n FROM range(10) r(bin) LEFT JOIN (SELECT l_tax, CAST(floor(least(greatest(l_tax, 0.0), 0.999999) / 0.1) AS BIGINT) AS b FROM lineitem) ON b = bin GROUP BY bin")
+def histogram(spark, sf_dir):
+    return evaluation.histogram(_table(spark, sf_dir, "lineitem"), "l_tax")
+
+
+@query("""WITH c AS (SELECT source, count(*) FILTER (quality = 1) AS k, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY source)
+SELECT source, n, round((k / n + 1.9208 / n - 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n), 6) AS low, round(least(1, (k / n + 1.9208 / n + 1.96 * sqrt(k / n * (1 - k / n) / n + 0.9604 / (n * n))) / (1 + 3.8416 / n)), 6) AS high FROM c""")
+def audit_precision(spark, sf_dir):
+    counts = _table(spark, sf_dir, "labels").join(_docs(spark, sf_dir).select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count_if(F.col("quality") == 1).alias("k"), F.count(F.lit(1)).alias("n"))
+    low, high = evaluation.wilson(F.col("k"), F.col("n"))
+    return counts.select("source", "n", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
+
+
+@query("""SELECT CAST(grouping(lang) AS BIGINT) AS total, lang, CAST(count(*) AS BIGINT) AS docs, CAST(count(*) FILTER (quality = 0) AS BIGINT) AS dropped, round(count(*) FILTER (quality = 0) / count(*), 6) AS drop_rate
+FROM documents JOIN labels USING (doc_id) GROUP BY GROUPING SETS ((lang), ())""")
+def align_stats(spark, sf_dir):
+    rows = _docs(spark, sf_dir).select("doc_id", "lang").join(_table(spark, sf_dir, "labels"), "doc_id")
+    dropped = F.count_if(F.col("quality") == 0)
+    return rows.rollup("lang").agg(F.grouping("lang").cast("long").alias("total"), F.count(F.lit(1)).alias("docs"), dropped.alias("dropped"), F.round(dropped / F.count(F.lit(1)), 6).alias("drop_rate"))
+
+
+_HASH = "(concat('0x', substr(md5('13:' || doc_id::VARCHAR), 1, 8))::BIGINT / 4294967296.0)"
+
+
+@query(f"SELECT doc_id, CASE WHEN {_HASH} < 0.1 THEN 'dev' WHEN {_HASH} < 0.2 THEN 'test' ELSE 'train' END AS split FROM documents")
+def split_assign(spark, sf_dir):
+    return evaluation.hash_split(_docs(spark, sf_dir), 13, 0.1, 0.1)
+
+
+@query("SELECT doc_id, count(*) AS n FROM documents GROUP BY doc_id HAVING count(*) > 1")
+def split_check(spark, sf_dir):
+    return evaluation.overlapping(evaluation.hash_split(_docs(spark, sf_dir), 13, 0.1, 0.1))
+
+
+@query("SELECT doc_id, quality FROM labels ORDER BY md5('7:' || doc_id::VARCHAR), doc_id LIMIT 20")
+def audit_sample(spark, sf_dir):
+    return evaluation.hash_sample(_table(spark, sf_dir, "labels").select("doc_id", "quality"), "doc_id", 7, 20)
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
+def unlabelled(spark, sf_dir):
+    return _docs(spark, sf_dir).select("doc_id").join(_table(spark, sf_dir, "labels").select("doc_id"), "doc_id", "left_anti")
+
+
+@query("""WITH w AS (SELECT lang, unnest(string_split(text, ' ')) AS piece FROM documents), b AS (SELECT DISTINCT piece FROM w WHERE lang = 'en'),
+n AS (SELECT count(*) AS n FROM b), x AS (SELECT DISTINCT piece FROM w WHERE lang = 'fr' AND piece NOT IN (SELECT piece FROM b))
+SELECT piece, CAST(n + row_number() OVER (ORDER BY encode(piece)) - 1 AS BIGINT) AS new_id FROM x, n""")
+def vocab_merge(spark, sf_dir):
+    pieces = _docs(spark, sf_dir).select("lang", F.explode(F.split("text", " ")).alias("piece")).distinct()
+    ids = Window.orderBy("piece")
+    base, extra = (pieces.where(F.col("lang") == lang).select("piece", (F.row_number().over(ids) - 1).alias("piece_id")) for lang in ("en", "fr"))
+    return evaluation.vocabulary_merge(base, extra)
+
+
+@query("""WITH e AS (SELECT vec_id % 10 AS new_id, vec_id FROM embeddings), d AS (SELECT new_id, unnest(range(64)) AS dim, unnest(embedding) AS x FROM e JOIN embeddings USING (vec_id))
+SELECT CAST(new_id AS BIGINT) AS new_id, CAST(dim AS BIGINT) AS dim, round(avg(x::DOUBLE), 6) AS value FROM d GROUP BY 1, 2""")
+def mean_init(spark, sf_dir):
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    edges = vectors.select((F.col("vec_id") % 10).alias("new_id"), F.col("vec_id").alias("old_id"))
+    out = evaluation.mean_vectors(edges, vectors)
+    return out.select("new_id", F.col("dim").cast("long").alias("dim"), F.round("value", 6).alias("value"))
+
+
+@query("""SELECT a.vec_id AS a, b.vec_id AS b, round(list_dot_product(a.embedding::DOUBLE[], b.embedding::DOUBLE[]), 4) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1""")
+def cosine_pairs(spark, sf_dir):
+    v = _table(spark, sf_dir, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    pairs = v.select(F.col("vec_id").alias("a"), (F.col("vec_id") + 1).alias("b"), F.col("e").alias("x")).join(v.select(F.col("vec_id").alias("b"), F.col("e").alias("y")), "b")
+    return pairs.select("a", "b", F.round(F.aggregate(F.zip_with("x", "y", lambda p, q: p * q), F.lit(0.0), lambda s, z: s + z), 4).alias("cosine"))
+
+
+@query("SELECT * FROM (VALUES ('a', 2::BIGINT, 4::BIGINT), ('b', 3::BIGINT, 3::BIGINT)) t(run, best_epoch, stopped_at)")
+def early_stop(spark, sf_dir):
+    history = [("a", 0, 9.0), ("a", 1, 1.0), ("a", 2, 3.0), ("a", 3, 2.0), ("a", 4, 2.5), ("a", 5, 9.0), ("b", 1, 1.0), ("b", 2, 2.0), ("b", 3, 4.0)]
+    return evaluation.early_stop(spark.createDataFrame(history, "run string, epoch long, score double"), 2)
+
+
+@query()
+def align_embeddings(spark, sf_dir):
+    place = F.row_number().over(Window.partitionBy("label", "side").orderBy("vec_id")) - 1
+    v = _table(spark, sf_dir, "embeddings").withColumn("side", F.col("vec_id") % 2).withColumn("idx", place)
+    src, tgt = (v.where(F.col("side") == s).select(F.col("label").cast("long").alias("doc"), "idx", F.col("embedding").alias("v")) for s in (0, 1))
+    return align.align_vectors(src, tgt)
+
+
+@query()
+def corpus_scores(spark, sf_dir):
+    said = segment.split_sentences(segment.unwrap(_docs(spark, sf_dir))).select(F.col("sentence").alias("ref"), F.split("sentence", " ").alias("w"))
+    kept = {"identity": F.col("ref"), "every_fourth_dropped": F.array_join(F.filter("w", lambda x, i: i % 4 != 3), " "), "first_part": F.array_join(F.slice("w", F.lit(1), F.ceil(F.size("w") * 0.6).cast("int")), " ")}
+    systems = F.explode(F.array(*(F.struct(F.lit(name).alias("system"), hyp.alias("hyp")) for name, hyp in kept.items()))).alias("s")
+    return metrics.corpus_scores(said.select("ref", systems).select("s.system", "s.hyp", "ref"))
+
+
+@query("""WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, value FROM events), n AS (SELECT count(*) AS n FROM e),
+d AS (SELECT i // n AS sample, concat('0x', substr(md5(i::VARCHAR), 1, 8))::BIGINT % n AS pos FROM n, LATERAL (SELECT unnest(range(20 * n)) AS i))
+SELECT CAST(sample AS BIGINT) AS sample, round(avg(value), 4) AS mean FROM d JOIN e USING (pos) GROUP BY 1""")
+def bootstrap_md5(spark, sf_dir):
+    return metrics.hash_bootstrap(_table(spark, sf_dir, "events"), "event_id", "value", 20).select("sample", F.round("mean", 4).alias("mean"))
