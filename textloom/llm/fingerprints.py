@@ -5,13 +5,11 @@ term draws r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1) from its hash, and t = floor
 term of least ln a = ln c - r (t - b + 1) is the sample, and (term, t) its value: two texts agree in
 a sample with a probability equal to the generalised Jaccard similarity of their weights.
 
-r is the quantile of 12 hash bits, from a table; c is the sum of two exponentials of 20 bits each.
+r and c are sums of two exponentials, each from 20 bits of the hash.
 """
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -19,35 +17,25 @@ from pyspark.sql.window import Window
 from textloom.llm.common import text_or_empty
 
 SAMPLES = 16
-GAMMA_CELLS = 4096
 #: Documents in one bucket of consecutive ids, and how many buckets there are at most.
 BUCKET_ROWS, MAX_BUCKETS = 200, 8192
 
 
-def gamma_quantiles(cells: int = GAMMA_CELLS) -> list[float]:
-    """Quantiles of Gamma(2, 1), F(x) = 1 - (1 + x) exp(-x), in the middle of each cell, by Newton's method."""
-    out, x = [], 0.01
-    for i in range(cells):
-        u = (i + 0.5) / cells
-        for _ in range(60):
-            step = (1 - (1 + x) * math.exp(-x) - u) / (x * math.exp(-x))
-            x = max(x - step, x / 4)
-            if abs(step) < 1e-12:
-                break
-        out.append(round(x, 9))
-    return out
-
-
 def _bits(h: Column, low: int, n: int) -> Column:
     return F.shiftrightunsigned(h, low).bitwiseAND(F.lit((1 << n) - 1)) if low else h.bitwiseAND(F.lit((1 << n) - 1))
 
 
-def _sample(term: Column, log_weight: Column, k: int, gammas: Column) -> Column:
+def _uniform(h: Column, low: int) -> Column:
+    return (_bits(h, low, 20) + F.lit(0.5)) / F.lit(float(1 << 20))
+
+
+def _sample(term: Column, log_weight: Column, k: int) -> Column:
     """ln a, scaled to 31 bits, above the 32 bits that name (term, t); its least is the sample."""
     h = F.xxhash64(term, F.lit(k))
-    r = gammas[_bits(h, 52, 12).cast("int")]
-    c = -F.ln((_bits(h, 0, 20) + F.lit(0.5)) * (_bits(h, 20, 20) + F.lit(0.5)) / F.lit(float(1 << 40)))
-    b = (_bits(h, 40, 12) + F.lit(0.5)) / F.lit(4096.0)
+    again = F.xxhash64(h)
+    c = -F.ln(_uniform(h, 0) * _uniform(h, 20))
+    r = -F.ln(_uniform(again, 0) * _uniform(again, 20))
+    b = _uniform(again, 40)
     t = F.floor(log_weight / r + b)
     scaled = ((F.ln(c) - r * (t - b + 1) + 64) * float(1 << 24)).cast("long")
     name = term.bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit((1 << 32) - 1))
@@ -60,12 +48,10 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     Where the rows already lie together by some of the keys, nothing is shuffled. Words are what
     white space separates; an empty text has the empty word. Equal texts have equal fingerprints.
     """
-    # A table's text in SQL is one folded literal in the plan.
-    gammas = F.expr(f"array({', '.join(f'{g}D' for g in gamma_quantiles())})")
     words = texts.select(*keys, F.explode(F.split(F.col(text), r"\s+")).alias("word"))
     terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("w"))
     terms = terms.select(*keys, "term", F.ln(F.col("w").cast("double")).alias("lw"))
-    least = terms.groupBy(*keys).agg(*(F.min(_sample(F.col("term"), F.col("lw"), k, gammas)).alias(f"s{k}") for k in range(SAMPLES)))
+    least = terms.groupBy(*keys).agg(*(F.min(_sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(SAMPLES)))
     digits = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 32) - 1)))), 8, "0") for k in range(SAMPLES)]
     return least.select(*keys, F.concat(*digits).alias("fingerprint"))
 
