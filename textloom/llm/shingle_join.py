@@ -29,11 +29,11 @@ WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
 #: Shingles whose counts order the prefixes; all others count as rare. The order is all that depends on it.
-RANKED = 100_000
+RANKED = 1_000_000
 #: A task counts blocks of so many shingles, and names those that come so often in one.
-BLOCK, OFTEN = 2_000_000, 6
-#: Parts of the hash range whose counts bound two sets' intersection from above.
-BINS = 32
+BLOCK, OFTEN = 8_000_000, 2
+#: Parts of the hash range; those that one set has and another lacks bound their intersection from above.
+MAP_BITS = 2048
 KEPT_WORDS = 400_000
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
@@ -129,8 +129,7 @@ def _needed(na: Column, nb: Column, percent: int) -> Column:
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Those of pairs(a, b) that link. texts(doc, text) has each document once.
 
-    The suffix filter comes first: the counts of both sets over parts of the hash range bound what
-    they can share, and are taken once for each document; then the sets are intersected.
+    The sets of both are made anew from whole texts and intersected.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -151,16 +150,24 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_arrow(full.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def _bins(docs: DataFrame) -> DataFrame:
-    """doc and the counts of its set over BINS parts of the hash range."""
+def _maps(docs: DataFrame) -> DataFrame:
+    """doc and a bit for each part of the hash range that its set has shingles in."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shift = WordHashes(), np.uint64(64 - BINS.bit_length() + 1)
+        cache, shift = WordHashes(), np.uint64(65 - MAP_BITS.bit_length())
         for batch in batches:
-            counts = [np.bincount((shingle_set(t, cache) >> shift).astype(np.int64), minlength=BINS).astype(np.int32) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.list_(pa.int32()))], ["doc", "bins"])
+            bits = np.zeros((batch.num_rows, MAP_BITS), bool)
+            for k, text in enumerate(batch.column(1).to_pylist()):
+                bits[k, (shingle_set(text, cache) >> shift).astype(np.int64)] = True
+            longs = np.packbits(bits, axis=1).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(longs), pa.list_(pa.int64()))], ["doc", "map"])
 
-    return map_arrow(docs.select("doc", "text"), run, "doc long, bins array<int>")
+    return map_arrow(docs.select("doc", "text"), run, "doc long, map array<long>")
+
+
+def _missing(a: str, b: str) -> Column:
+    """Parts that the map a has and b lacks: as many shingles at least aren't shared."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda acc, n: acc + n)
 
 
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -184,7 +191,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # One text for each class: rows of a doc_id with several texts are told apart by their sets' sizes, then by text.
     texts = plain.join(reps.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
 
-    prefixes = _prefixes(texts, ranked, percent)
+    prefixes = written(_prefixes(texts, ranked, percent), "prefixes")
     shared = prefixes.groupBy("shingle").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     postings = written(prefixes.join(shared, "shingle"), "postings")
 
@@ -195,14 +202,14 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     star = star.join(hub_sizes, "a").where(fits).select("a", "b", "na", "nb")
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b, na, nb) that link, among those that the suffix filter lets through."""
+        """pairs(a, b, na, nb) that link. The suffix filter comes first: the parts of the hash range in which one set lies and the other doesn't."""
         pairs = written(pairs, "candidates")
         wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-        some = written(texts.join(wanted, "doc", "left_semi"), "texts")
-        bins = _bins(some)
-        bounded = pairs.join(bins.select(F.col("doc").alias("a"), F.col("bins").alias("bins_a")), "a").join(bins.select(F.col("doc").alias("b"), F.col("bins").alias("bins_b")), "b")
-        most = F.aggregate(F.zip_with("bins_a", "bins_b", lambda x, y: F.least(x, y)), F.lit(0), lambda acc, x: acc + x)
-        left = bounded.where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b")
+        some = written(plain.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi"), "texts")
+        maps = written(_maps(some), "maps")
+        bounded = pairs.join(maps.select(F.col("doc").alias("a"), F.col("map").alias("map_a")), "a").join(maps.select(F.col("doc").alias("b"), F.col("map").alias("map_b")), "b")
+        most = F.least(F.col("na") - _missing("map_a", "map_b"), F.col("nb") - _missing("map_b", "map_a"))
+        left = bounded.where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
         return written(_verified(left, some, percent), "links")
 
     own = rows.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v")
