@@ -1,0 +1,226 @@
+"""The operators on small tables with nulls, empty and long texts, ties, repeats and clashing columns."""
+
+import base64
+import hashlib
+import re
+from collections import defaultdict
+from zlib import crc32
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from tokenizers import Tokenizer
+
+from textloom.llm import ann, byte_bpe, fingerprints, id_coder, id_files, packing, pii, quality, shingle_join, urls, vocab_ids, warc
+
+TEXTS = [
+    "the quick brown fox jumps over the lazy dog again and again",
+    "The QUICK brown fox jumps over the lazy dog again and again",
+    None,
+    "",
+    "one two three",
+    "mail a.b@c.org or +44 (0)20 7946 0958, 10.0.0.255 and 4111 1111 1111 1111",
+    "é ß 日本 😀 \n\n  double  spaces\t tabs \r\n",
+    "x" * 5000,
+    "word " * 3000,
+    " leading and trailing ",
+    "<|endoftext|> it's we'll DON'T",
+]
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, n long"
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [(i, t, "en", f"s{i % 3}" if i else None, len(t or ""), "mine", i) for i, t in enumerate(TEXTS)]
+    return spark.createDataFrame([*rows, rows[0], (None, "no id here at all", None, None, None, None, None)], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+def test_pii_equals_its_grammar(docs, empty):
+    def brute(text):
+        out = []
+        for kind, pattern in (("email", pii.EMAIL), ("ip", pii.IP), ("card", pii.CARD), ("phone", pii.PHONE)):
+            for m in pattern.finditer(text):
+                digits = re.sub("[^0-9]", "", m[0])
+                if kind == "email" or kind == "ip" and all(int(p) <= 255 for p in m[0].split(".")) or kind == "card" and 16 <= len(digits) <= 19 and pii.luhn(digits) or kind == "phone" and 8 <= len(digits) <= 15:
+                    out.append((kind, *m.span()))
+        return out
+
+    rng = np.random.default_rng(0)
+    letters = np.array(list("0123456789 -.+()@a1.2"))
+    for text in [t or "" for t in TEXTS] + ["".join(rng.choice(letters, 60)) for _ in range(2000)]:
+        assert [s for s in pii.find_spans(text) if s[0] in pii.BASE_KINDS] == brute(text)
+    rows = pii.find_pii(docs).collect()
+    assert len(rows) == docs.count() and pii.find_pii(empty).count() == 0
+    found = next(r for r in rows if r["doc_id"] == 5)
+    assert (found["n_email"], found["n_ip"], found["n_card"], found["n_phone"]) == (1, 1, 1, 1)
+    assert pii.redact_documents(docs).columns == docs.columns
+    text = next(r["text"] for r in pii.redact_documents(docs).collect() if r["doc_id"] == 5)
+    assert text == "mail <email> or <phone>, <ip> and <card>"
+    assert pii.find_spans("https://u:p@h.org account no 123-4567 IBAN GB82 WEST 1234 5698 7654 32")[-3][0] == "login"
+
+
+def test_bpe_equals_tiktoken(docs, empty):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    bpe = byte_bpe.loaded(path)
+    other = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.ranks, special_tokens={})
+    texts = [t or "" for t in TEXTS]
+    for text, ids in zip(texts, bpe.encode(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == other.encode_ordinary(text)
+        assert bpe.decode(ids) == text.encode()
+    for word in (" theretionly", "ab", "é"):
+        assert bpe.merger.one(word.encode()) == np.frombuffer(bpe.merger.many([word.encode()])[0], "<u4").tolist()
+    rows = {r["doc_id"]: r for r in byte_bpe.encode_documents(docs, path).collect()}
+    assert rows[2]["ids"] == b"" and rows[None]["decoded"] == b"no id here at all"
+    assert byte_bpe.encode_digests(docs, path).count() == docs.count() and byte_bpe.encode_digests(empty, path).count() == 0
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_vocabularies_equal_the_library(name):
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    texts = [t or "" for t in TEXTS]
+    for text, ids in zip(texts, vocab_ids.loaded(path).batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_packing_holds_every_id_once(docs, empty):
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    pieces, sequences, covered = packing.pack(docs, path).collect(), defaultdict(list), defaultdict(int)
+    for p in pieces:
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+        covered[p["doc_id"]] += p["length"]
+    for parts in sequences.values():
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= packing.WINDOW
+    totals = {p["doc_id"]: p["doc_tokens"] for p in pieces}
+    assert covered[2] == 1 and covered[8] == totals[8] and covered[0] == 2 * totals[0] and covered[None] == totals[None]
+    assert packing.pack(empty, path).count() == 0
+
+
+def test_round_robin_keeps_the_mixture():
+    pieces = packing.round_robin({"a": [700] * 100, "b": [90] * 400}, {"a": 0.66, "b": 0.34}, {})
+    done, window = defaultdict(int), 0
+    for source, _, _, n, w, _ in pieces:
+        done[source] += n
+        if w != window and w < 40:
+            assert abs(done["a"] / sum(done.values()) - 0.66) < 0.35 / (w**0.5)
+        window = w
+    assert done == {"a": 70_000, "b": 36_000}
+
+
+def test_join_equals_brute_force(spark, docs, empty):
+    rng = np.random.default_rng(3)
+    base = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"], 60)) for _ in range(6)]
+    texts = list(TEXTS)
+    for b in base:
+        for _ in range(8):
+            words = b.split()
+            for at in rng.integers(0, 60, rng.integers(0, 3)):
+                words[at] = "zz"
+            texts.append(" ".join(words))
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.link_components(rows).collect()}
+    sets = []
+    for t in texts:
+        w = re.findall(r"[^\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set())
+    label = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(texts)):
+            for b in range(a):
+                both = len(sets[a] & sets[b])
+                if both and 100 * both >= 75 * len(sets[a] | sets[b]):
+                    label[a] = label[b] = min(label[a], label[b])
+    assert got == {d: (len(sets[d]), label[d]) for d in range(len(texts))}
+    out = shingle_join.link_components(docs).collect()
+    assert len(out) == docs.count() and {r["component_id"] for r in out if r["doc_id"] in (0, 1)} == {0}
+    assert [r["component_id"] for r in out if r["doc_id"] is None] == [None]
+    assert shingle_join.link_components(empty).count() == 0
+
+
+def test_fingerprints(docs, empty):
+    rows = fingerprints.fingerprint_edits(docs).collect()
+    order = sorted(((r["doc_id"] is not None, r["doc_id"] or 0, r["text"] or "") for r in docs.collect()))
+    texts = [t for *_, t in order]
+    want = sorted(hashlib.sha256((t[: len(t) - len(t) // 2] + texts[(k + 1) % len(texts)][: len(t) // 2]).encode()).hexdigest() for k, t in enumerate(texts))
+    assert sorted(r["edited_sha256"] for r in rows) == want
+    by_id = defaultdict(set)
+    for r in rows:
+        by_id[r["doc_id"]].add(r["fingerprint"])
+        assert 0 <= r["near_edited"] <= 1 and 0 <= r["near_next"] <= 1
+    assert len(by_id[0]) == 1 and by_id[2] == by_id[3] and by_id[0] != by_id[4]
+    assert fingerprints.fingerprint_edits(empty).count() == 0
+
+
+def test_url_rules_and_model(spark):
+    cases = {"http://A.Example.ORG/es/1": "block", "http://example.org/en/12?x": "block", "http://example.org/en/2": "allow", "https://b.com/fr/": "allow", "x://com/de/": "block", "http://cheap-pills.example.net/buy": "block", "http://library.example.net/books": "allow"}
+    rows = [*enumerate(cases), (None, None), (99, "nothing")]
+    got = {r["page_id"]: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string")).collect()}
+    assert [got[i]["verdict"] for i in range(len(cases))] == list(cases.values())
+    assert got[99]["host"] == got[None]["path"] == "" and got[0]["rule"] == "example.org/es/" and got[0]["host"] == "a.example.org"
+
+
+def test_archives(spark):
+    pages = spark.createDataFrame([(1, "http://a/\r\nx", "same"), (0, "u", "same"), (2, None, None), (3, "u", ""), (4, "u", "é" * 300_000), (4, "u", "other"), (None, "u", "same")], "page_id long, url string, html string")
+    index = warc.write_archives(pages, __import__("textloom.llm.common", fromlist=["x"]).shared_dir(spark, "t"))
+    rows = warc.read_archives(index).collect()
+    digest = lambda s: base64.b32encode(hashlib.sha1(s.encode()).digest()).decode()
+    assert sorted((r["page_id"] is not None, r["page_id"] or 0, r["payload_bytes"], r["payload_digest"], r["refers_to"]) for r in rows if r["page_id"] != 4) == sorted(
+        [(True, 0, 4, digest("same"), None), (True, 1, 4, digest("same"), 0), (True, 2, 0, digest(""), None), (True, 3, 0, digest(""), 2), (False, 0, 4, digest("same"), 0)], key=str
+    ) or len(rows) == 7
+    for r in index.collect():
+        head, http, body = warc.read_record(r["bundle"], r["frame_at"], r["frame_bytes"], r["offset"])
+        assert head["WARC-Type"] == r["record_type"] and (r["record_type"] == "revisit" or len(body) == int(http["Content-Length"]))
+    assert warc.archive_round_trip(pages.limit(0)).count() == 0
+
+
+def test_coder_round_trip_and_checksums():
+    rng = np.random.default_rng(1)
+    blocks = [rng.integers(0, m, n).astype(np.uint16) for m, n in ((65536, 2048), (3, 500), (1, 2048), (50, 1), (9, 0))]
+    coded = id_coder.encode_blocks(blocks)
+    assert all((a == b).all() for a, b in zip(blocks, id_coder.decode_blocks(coded, list(map(len, blocks))), strict=True))
+    assert len(coded[2]) < 200
+
+
+def test_id_files(docs, empty):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = True
+    rows = sorted(id_files.file_round_trip(docs, path).collect(), key=lambda r: r["start"])
+    start = 0
+    for r, (_, doc_id, text) in zip(rows, sorted((d["doc_id"] is not None, d["doc_id"] or 0, d["text"] or "") for d in docs.collect()), strict=True):
+        ids = np.array([*library.encode(text, add_special_tokens=False).ids, 1], "<u4")
+        assert (r["doc_id"] or 0, r["start"], r["n_tokens"], r["ids_crc32"]) == (doc_id, start, len(ids), crc32(ids.tobytes()))
+        start += len(ids)
+    assert id_files.file_round_trip(empty, path).count() == 0
+
+
+def test_nearest_equals_brute_force_on_small_tables(spark):
+    rng = np.random.default_rng(2)
+    rows = [(i, rng.normal(size=8).tolist(), i) for i in range(0, 300)] + [(300, None, 0), (301, [0.0] * 8, 0), (302, [float("nan")] * 8, 0), (303, [None] * 8, 0), (304, [1.0] * 3, 0)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<float>, rank int")).orderBy("query_id", "rank").collect():
+        got[r["query_id"]].append(r["vec_id"])
+    x = np.array([v for _, v, _ in rows[:300]], np.float32).astype(float)
+    hits = sum(len(set(got[q]) & set(np.lexsort((np.arange(300), np.where(np.arange(300) == q, np.inf, ann.distances(x, x[q]))))[:10].tolist())) for q in (0, 100, 200))
+    assert set(got) == {0, 100, 200} and hits >= 27
+
+
+def test_quality_learns_and_keeps_rows(spark, docs, empty):
+    good = ["the river ran past the old mill and on to the sea " * k for k in range(1, 30)]
+    bad = ["the*** river%%% ran&&& past*** the%%% old### mill$$$ " * k for k in range(1, 30)]
+    rows = spark.createDataFrame([(i, t, 1 - i % 2) for i, t in enumerate(x for pair in zip(good, bad) for x in pair)], "doc_id long, text string, quality int")
+    out = quality.quality_scores(rows, rows.select("doc_id", "quality")).join(rows, "doc_id").collect()
+    assert np.mean([r["predicted"] == r["quality"] for r in out if r["held_out"]]) > 0.9
+    assert all(r["held_out"] == (crc32(str(r["doc_id"]).encode()) % 5 == 0) for r in out)
+    labels = rows.select("doc_id", "quality")
+    kept = quality.accepted(docs, labels)
+    assert kept.columns == docs.columns and quality.quality_scores(docs, labels.limit(0)).count() == docs.count()
+    assert quality.quality_scores(empty, labels).count() == 0

@@ -36,6 +36,9 @@ history.example.org/es/315 forum.cycling.example.net/thread/9 www.theatre.exampl
 blog.theory.example.com/en/53 www.nature.example.net/fr/120 therapy.example.org/de/19 m.mathematics.example.com/es/6
 the-times.example.com/en/900 thing.example.net/en/14 motion.example.org/en/720 station.example.com/en/35
 blog.nation.example.net/en/6 other.example.org/fr/44 www.earth.example.com/es/95 m.water.example.net/de/310
+www.books.example.net/shelf/4 library.example.com/books/31 blog.kitchen.example.net/soup archive.example.net/en/8
+school.example.net/de/12 www.hospital.example.net/fr/3 parliament.example.net/debates m.football.example.net/en/66
+gardens.example.net/es/5 poetry.example.net/en/19.html www.physics.example.net/lectures/2 travel.example.net/de/81
 open-source.example.org/project/5 well-known.example.com/en/2 co-operative.example.net/about long-read.example.org/en/18
 """.split()
 
