@@ -255,6 +255,6 @@ def corpus_scores(spark, sf_dir):
 
 @query("""WITH e AS (SELECT row_number() OVER (ORDER BY event_id) - 1 AS pos, value FROM events), n AS (SELECT count(*) AS n FROM e),
 d AS (SELECT i // n AS sample, concat('0x', substr(md5(i::VARCHAR), 1, 8))::BIGINT % n AS pos FROM n, LATERAL (SELECT unnest(range(20 * n)) AS i))
-SELECT CAST(sample AS BIGINT) AS sample, round(avg(value), 4) AS mean FROM d JOIN e USING (pos) GROUP BY 1""")
+SELECT CAST(sample AS BIGINT) AS sample, round(avg(value), 8) AS mean FROM d JOIN e USING (pos) GROUP BY 1""")
 def bootstrap_md5(spark, sf_dir):
-    return metrics.hash_bootstrap(_table(spark, sf_dir, "events"), "event_id", "value", 20).select("sample", F.round("mean", 4).alias("mean"))
+    return metrics.hash_bootstrap(_table(spark, sf_dir, "events"), "event_id", "value", 20).select("sample", F.round("mean", 8).alias("mean"))
