@@ -4,7 +4,7 @@ A document's set holds the 64-bit hashes of its distinct five-word shingles. Doc
 sets form a class, whose least doc_id stands for it in all that follows.
 
 All sets are put in one order: rarest first, by counts that each task makes over its shingles and
-that are summed over all documents, then by hash. Two sets of the wanted similarity share a shingle
+that are summed over all documents and kept in a table of fixed size, then by hash. Two sets of the wanted similarity share a shingle
 within the first n - ceil(t n) + 1 of each. Documents of a prefix shingle are joined in two rounds,
 so that a large group of copies costs no pair for each two of its members: first each with the least
 document under the shingle; then, of those that the first round didn't bring together, each with
@@ -17,6 +17,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -28,8 +29,9 @@ from textloom.llm.components import components
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
 PERCENT = 75
-#: Shingles whose counts order the prefixes; all others count as rare. The order is all that depends on it.
-RANKED = 1_000_000
+#: Equal parts of the hash range, each with one byte for the count of its most frequent shingle: the table by
+#: which prefixes are ordered has this size over any corpus. The order is all that depends on it.
+CELL_BITS, CHUNK_BITS = 23, 13
 #: A task counts blocks of so many shingles, and names those that come so often in one.
 BLOCK, OFTEN = 8_000_000, 2
 #: Parts of the hash range; those that one set has and another lacks bound their intersection from above.
@@ -94,12 +96,30 @@ def _scan(docs: DataFrame) -> DataFrame:
     return map_arrow(docs, run, "doc_id long, n long, digest binary, shingle long")
 
 
-def _prefixes(docs: DataFrame, ranked: tuple[np.ndarray, np.ndarray], percent: int) -> DataFrame:
+def _levels(scan: DataFrame) -> np.ndarray:
+    """A byte for each cell of the hash range: eight times the binary logarithm of its largest count, 0 without any."""
+    counts = scan.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("df"))
+    cells = counts.groupBy(F.shiftrightunsigned("shingle", 64 - CELL_BITS).cast("int").alias("cell")).agg(F.max("df").alias("df"))
+    level = F.least(F.lit(255), F.floor(F.log2("df") * 8)).cast("int").alias("level")
+
+    def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        levels = np.zeros(1 << CHUNK_BITS, np.uint8)
+        levels[rows["cell"].to_numpy() & ((1 << CHUNK_BITS) - 1)] = rows["level"].to_numpy()
+        return pd.DataFrame({"chunk": [key[0]], "levels": [levels.tobytes()]})
+
+    chunks = cells.select(F.shiftright("cell", CHUNK_BITS).alias("chunk"), "cell", level).groupBy("chunk").applyInPandas(joined, "chunk int, levels binary")
+    out = np.zeros((1 << CELL_BITS - CHUNK_BITS, 1 << CHUNK_BITS), np.uint8)
+    for row in chunks.collect():  # one byte for each cell
+        out[row["chunk"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.reshape(-1)
+
+
+def _prefixes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
     """shingle, doc, n, pos for the prefix of each document's set, rarest first."""
-    sent = docs.sparkSession.sparkContext.broadcast(ranked)  # at most RANKED pairs of numbers
+    sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** CELL_BITS bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, (frequent, counts) = WordHashes(), sent.value
+        cache, levels, shift = WordHashes(), sent.value, np.uint64(64 - CELL_BITS)
         for batch in batches:
             shingles, docs_, sizes, places = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -108,9 +128,7 @@ def _prefixes(docs: DataFrame, ranked: tuple[np.ndarray, np.ndarray], percent: i
                 if not n:
                     continue
                 keep = n - (percent * n + 99) // 100 + 1
-                if len(frequent):
-                    at = np.minimum(np.searchsorted(frequent, s), len(frequent) - 1)
-                    s = s[np.argsort(np.where(frequent[at] == s, counts[at], 0), kind="stable")]
+                s = s[np.argsort(levels[(s >> shift).astype(np.int64)], kind="stable")]
                 shingles.append(s[:keep])
                 docs_.append(np.full(keep, doc, np.int64))
                 sizes.append(np.full(keep, n, np.int32))
@@ -181,9 +199,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     scan = written(_scan(plain), "shingles")
     sets = scan.where("digest IS NOT NULL").select("doc_id", "n", "digest")
-    frequent = scan.where("shingle IS NOT NULL").groupBy("shingle").agg(F.sum("n").alias("df")).orderBy(F.desc("df"), "shingle").limit(RANKED).toPandas()
-    order = np.argsort(frequent["shingle"].to_numpy(np.int64).view(np.uint64))
-    ranked = frequent["shingle"].to_numpy(np.int64).view(np.uint64)[order], frequent["df"].to_numpy(np.int64)[order]
+    levels = _levels(scan)
 
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     rows = written(sets.join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "classes")
@@ -191,7 +207,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     # One text for each class: rows of a doc_id with several texts are told apart by their sets' sizes, then by text.
     texts = plain.join(reps.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
 
-    prefixes = written(_prefixes(texts, ranked, percent), "prefixes")
+    prefixes = written(_prefixes(texts, levels, percent), "prefixes")
     shared = prefixes.groupBy("shingle").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     postings = written(prefixes.join(shared, "shingle"), "postings")
 
