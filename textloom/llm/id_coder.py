@@ -2,10 +2,11 @@
 
 An id is coded as one of four events: the id predicted by the two ids before it (order 2), else the
 one predicted by the id before (order 1), else the block's most frequent id so far (order 0), else
-none of these, followed by the id itself. The events' probabilities mix three adaptive sets of
-counts: under how well order 2 did lately here, under how well order 1 did, and under neither. A
-block starts from an empty model, so blocks stand alone; numpy codes one id of every block of a
-group at each step. All arithmetic is on integers, the same on every machine.
+none of these, which leaves 65,536 equal parts of that event's range, one for each id. The events'
+probabilities mix three adaptive sets of counts: under how well order 2 did lately here, under how
+well order 1 did, and under neither. A block starts from an empty model, so blocks stand alone;
+numpy codes one id of every block of a group at each step. All arithmetic is on integers, the same
+on every machine.
 """
 
 from __future__ import annotations
@@ -14,113 +15,121 @@ from zlib import crc32
 
 import numpy as np
 
-BLOCK = 2048
+#: Counts grow by STEP an id, so that in a block of this length their mixed total stays below 65,536.
+BLOCK, STEP = 512, 24
+FIRST_COUNTS = (4, 4, 2, 24)
 #: Slots of a block's order-2 and order-1 tables, and of its order-0 counts.
-SLOTS = 2048
-IDS = 1 << 16
-TOP, BOTTOM, MASK = np.uint64(1 << 24), np.uint64(1 << 16), np.uint64(0xFFFFFFFF)
-STEP, LIMIT = 24, 6000
-_U8, _U24 = np.uint64(8), np.uint64(24)
+SLOTS = 512
+ID_BITS = 16
+#: The coder's state has 64 bits and gives out 16 at a time.
+TOP, BOTTOM = np.uint64(1 << 48), np.uint64(1 << 40)
+_U16, _U32, _U48 = np.uint64(16), np.uint64(32), np.uint64(48)
+#: Words that 32 steps may need at most.
+_SPARE, _EVERY = 256, 32
 
 
 class _Model:
     """The state of a group of blocks: predictions, how well they did, and counts of events."""
 
     def __init__(self, lanes: int):
-        self.n = lanes
         self.lane = np.arange(lanes)
-        self.slot0 = self.lane * SLOTS
-        self.t2, self.t1 = np.zeros(lanes * SLOTS, np.uint16), np.zeros(lanes * SLOTS, np.uint16)
-        self.c2, self.c1 = np.zeros(lanes * SLOTS, np.uint8), np.zeros(lanes * SLOTS, np.uint8)
-        self.seen = np.zeros(lanes * SLOTS, np.uint16)
-        self.best, self.best_n = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
-        self.f = [np.tile(np.array([4, 4, 2, 24], np.int64), (lanes * n, 1)) for n in (8, 8, 1)]
+        self.slot0, self.lane4, self.lane5, self.lane8 = self.lane * SLOTS, self.lane * 4, self.lane * 5, self.lane * 8
+        #: The predicted id, and above its bits how well it did.
+        self.table2, self.table1 = np.zeros(lanes * SLOTS, np.int32), np.zeros(lanes * SLOTS, np.int32)
+        self.seen = np.zeros(lanes * SLOTS, np.int16)
+        self.best, self.best_n = np.zeros(lanes, np.int32), np.zeros(lanes, np.int16)
+        self.counts = [np.tile(np.array(FIRST_COUNTS, np.int32), (lanes * n, 1)) for n in (8, 8, 1)]
         self.last, self.last2 = np.zeros(lanes, np.int64), np.zeros(lanes, np.int64)
 
     def predict(self, m: int) -> None:
-        """For the first m blocks: predicted ids and cumulative frequencies of the four events."""
+        """For the first m blocks: predicted ids, the events' frequencies and where each begins."""
         last, last2 = self.last[:m], self.last2[:m]
-        self.i1 = self.slot0[:m] + (last * 40503 >> 4) % SLOTS
-        self.i2 = self.slot0[:m] + ((last2 * 40503 + last) * 30011 >> 5) % SLOTS
-        self.p2, self.p1, self.p0 = self.t2[self.i2].astype(np.int64), self.t1[self.i1].astype(np.int64), self.best[:m]
-        self.k2, self.k1 = self.c2[self.i2], self.c1[self.i1]
-        self.rows = self.lane[:m] * 8 + self.k2, self.lane[:m] * 8 + self.k1, self.lane[:m]
-        mixed = self.f[0][self.rows[0]] * 2 + self.f[1][self.rows[1]] + self.f[2][self.rows[2]]
-        self.cumulative = np.cumsum(mixed, axis=1)
-        self.freq = mixed
+        self.at1 = self.slot0[:m] + ((last * 40503 >> 4) & (SLOTS - 1))
+        self.at2 = self.slot0[:m] + (((last2 * 40503 + last) * 30011 >> 5) & (SLOTS - 1))
+        entry2, entry1 = self.table2.take(self.at2), self.table1.take(self.at1)
+        self.p2, self.p1, self.p0 = entry2 & 0xFFFF, entry1 & 0xFFFF, self.best[:m]
+        self.k2, self.k1 = entry2 >> ID_BITS, entry1 >> ID_BITS
+        self.rows = self.lane8[:m] + self.k2, self.lane8[:m] + self.k1, self.lane[:m]
+        f2, f1, f0 = self.counts
+        self.freq = f2.take(self.rows[0], axis=0) * 2 + f1.take(self.rows[1], axis=0) + f0[:m]
+        self.begin = np.zeros((m, 5), np.int32)
+        for k in range(4):
+            np.add(self.begin[:, k], self.freq[:, k], out=self.begin[:, k + 1])
+        self.total = self.begin[:, 4].astype(np.uint64) << _U16
+
+    def part(self, event: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Where the events begin and how wide they are."""
+        m = len(event)
+        return self.begin.ravel().take(self.lane5[:m] + event).astype(np.uint64), self.freq.ravel().take(self.lane4[:m] + event).astype(np.uint64)
 
     def update(self, ids: np.ndarray, event: np.ndarray) -> None:
         m = len(ids)
-        for f, row in zip(self.f, self.rows, strict=True):
-            f[row, event] += STEP
-            full = f[row, event] > LIMIT
-            if full.any():
-                rows = row[full]
-                f[rows] = (f[rows] >> 1) | 1
-        for table, at, count, k, p in ((self.t2, self.i2, self.c2, self.k2, self.p2), (self.t1, self.i1, self.c1, self.k1, self.p1)):
-            hit = p == ids
-            count[at] = np.where(hit, np.minimum(k + 1, 7), k >> 1)
-            table[at] = ids
-        at = self.slot0[:m] + ids % SLOTS
-        n = self.seen[at] + np.uint16(1)
+        for counts, row in zip(self.counts, self.rows, strict=True):
+            counts.ravel()[row * 4 + event] += STEP
+        for table, at, k, p in ((self.table2, self.at2, self.k2, self.p2), (self.table1, self.at1, self.k1, self.p1)):
+            table[at] = ids | np.where(p == ids, np.minimum(k + 1, 7), k >> 1) << ID_BITS
+        at = self.slot0[:m] + (ids & (SLOTS - 1))
+        n = self.seen.take(at) + np.int16(1)
         self.seen[at] = n
-        better = n >= self.best_n[:m]
-        self.best[:m] = np.where(better, ids, self.best[:m])
-        self.best_n[:m] = np.maximum(self.best_n[:m], n)
+        np.copyto(self.best[:m], ids, where=n >= self.best_n[:m])
+        np.maximum(self.best_n[:m], n, out=self.best_n[:m])
         self.last2[:m] = self.last[:m]
         self.last[:m] = ids
 
 
-def _order(lengths: np.ndarray) -> np.ndarray:
-    """Longest first, so that the blocks that still go on are always the first."""
-    return np.argsort(-lengths, kind="stable")
+def _order(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Blocks with the longest first, and how many of them still go on at each step."""
+    order = np.argsort(-lengths, kind="stable")
+    return order, np.searchsorted(-lengths[order], -np.arange(int(lengths.max(initial=0))), side="left")
+
+
+def _settled(low: np.ndarray, span: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lanes whose first 16 bits can go, and their ranges, cut where they are too small and those bits aren't settled."""
+    open_ = (low ^ (low + span)) >= TOP
+    small = span < BOTTOM
+    where = np.flatnonzero(small | ~open_)
+    cut = (np.uint64(0) - low[where]) & (BOTTOM - np.uint64(1))
+    return where, np.where(open_[where], cut, span[where])
 
 
 def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
     """Coded bytes of each block of at most BLOCK ids below 65,536."""
     lengths = np.array([len(b) for b in blocks], np.int64)
-    order = _order(lengths)
-    n, steps = len(blocks), int(lengths.max(initial=0))
-    ids = np.zeros((steps, n), np.int64)
+    order, live = _order(lengths)
+    n, steps = len(blocks), len(live)
+    ids = np.zeros((steps, n), np.int32)
     for lane, k in enumerate(order):
         ids[: lengths[k], lane] = blocks[k]
-    live = np.searchsorted(-lengths[order], -np.arange(steps), side="left") if steps else []
-    model, low, span = _Model(n), np.zeros(n, np.uint64), np.full(n, MASK, np.uint64)
-    out, at = np.zeros((n, 6 * steps + 8), np.uint8), np.zeros(n, np.int64)
-
-    def code(where: np.ndarray | slice, start: np.ndarray, width: np.ndarray, total: np.ndarray | int) -> None:
-        lo, r = low[where], span[where] // np.asarray(total).astype(np.uint64)
-        lo, r = lo + start.astype(np.uint64) * r, r * width.astype(np.uint64)
-        lanes = np.arange(n)[where]
-        todo = np.arange(len(lanes))
-        while True:
-            a, b = lo[todo], r[todo]
-            flat = (a ^ (a + b)) < TOP
-            small = ~flat & (b < BOTTOM)
-            more = flat | small
-            if not more.any():
-                break
-            todo, a, b = todo[more], a[more], np.where(small[more], (~a[more] + np.uint64(1)) & (BOTTOM - np.uint64(1)), b[more])
-            out[lanes[todo], at[lanes[todo]]] = (a >> _U24).astype(np.uint8)
-            at[lanes[todo]] += 1
-            lo[todo], r[todo] = (a << _U8) & MASK, (b << _U8) & MASK
-        low[where], span[where] = lo, r
-
+    model, low, span = _Model(n), np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
+    out, at = np.zeros((n, steps + 2 * _SPARE), "<u2"), np.zeros(n, np.int64)
     for i in range(steps):
+        if i % _EVERY == 0 and out.shape[1] - at.max() < _SPARE:
+            out = np.pad(out, ((0, 0), (0, steps + _SPARE)))
         m = int(live[i])
         x = ids[i, :m]
         model.predict(m)
         event = np.where(x == model.p2, 0, np.where(x == model.p1, 1, np.where(x == model.p0, 2, 3)))
-        ends = model.cumulative
-        width = model.freq[model.lane[:m], event]
-        code(slice(0, m), ends[model.lane[:m], event] - width, width, ends[:, 3])
-        if len(raw := np.flatnonzero(event == 3)):
-            code(raw, x[raw], np.ones(len(raw), np.int64), IDS)
+        begin, width = model.part(event)
+        none = event == 3
+        share = span[:m] // model.total
+        low[:m] += ((begin << _U16) + np.where(none, x.astype(np.uint64) * width, np.uint64(0))) * share
+        span[:m] = share * np.where(none, width, width << _U16)
         model.update(x, event)
-    for _ in range(4):
-        out[np.arange(n), at] = (low >> _U24).astype(np.uint8)
+        lanes, a, b = np.arange(m), low[:m], span[:m]
+        while True:
+            where, b = _settled(a, b)
+            if not len(where):
+                break
+            lanes, a = lanes[where], a[where]
+            to = at[lanes]
+            out[lanes, to] = a >> _U48
+            at[lanes] = to + 1
+            a, b = a << _U16, b << _U16
+            low[lanes], span[lanes] = a, b
+    last = low + (np.uint64(1 << 32) - np.uint64(1))  # 32 bits of it name a number in the range
+    for shift in (_U48, _U32):
+        out[np.arange(n), at] = (last >> shift) & np.uint64(0xFFFF)
         at += 1
-        low = (low << _U8) & MASK
     coded: list[bytes] = [b""] * n
     for lane, k in enumerate(order):
         coded[k] = out[lane, : at[lane]].tobytes() if lengths[k] else b""
@@ -130,56 +139,45 @@ def encode_blocks(blocks: list[np.ndarray]) -> list[bytes]:
 def decode_blocks(coded: list[bytes], lengths: list[int]) -> list[np.ndarray]:
     """The ids of each block."""
     sizes = np.array(lengths, np.int64)
-    order = _order(sizes)
-    n, steps = len(coded), int(sizes.max(initial=0))
-    data = np.zeros((n, max(map(len, coded), default=0) + 8), np.uint8)
+    order, live = _order(sizes)
+    n, steps = len(coded), len(live)
+    data = np.zeros((n, max(map(len, coded), default=0) // 2 + 8), "<u2")
     for lane, k in enumerate(order):
-        data[lane, : len(coded[k])] = np.frombuffer(coded[k], np.uint8)
-    live = np.searchsorted(-sizes[order], -np.arange(steps), side="left") if steps else []
-    model, low, span = _Model(n), np.zeros(n, np.uint64), np.full(n, MASK, np.uint64)
+        data[lane, : len(coded[k]) // 2] = np.frombuffer(coded[k], "<u2")
+    model, low, span = _Model(n), np.zeros(n, np.uint64), np.full(n, 2**64 - 1, np.uint64)
     value, at = np.zeros(n, np.uint64), np.full(n, 4, np.int64)
     for k in range(4):
-        value = value << _U8 | data[:, k]
-    ids = np.zeros((steps, n), np.uint16)
-
-    def target(where: np.ndarray | slice, total: np.ndarray | int) -> np.ndarray:
-        span[where] //= np.asarray(total).astype(np.uint64)
-        return np.minimum(((value[where] - low[where]) & MASK) // span[where], np.asarray(total).astype(np.uint64) - np.uint64(1)).astype(np.int64)
-
-    def skip(where: np.ndarray | slice, start: np.ndarray, width: np.ndarray) -> None:
-        lo, r, v = low[where] + start.astype(np.uint64) * span[where], span[where] * width.astype(np.uint64), value[where]
-        lanes = np.arange(n)[where]
-        todo = np.arange(len(lanes))
-        while True:
-            a, b = lo[todo], r[todo]
-            flat = (a ^ (a + b)) < TOP
-            small = ~flat & (b < BOTTOM)
-            more = flat | small
-            if not more.any():
-                break
-            todo, a, b = todo[more], a[more], np.where(small[more], (~a[more] + np.uint64(1)) & (BOTTOM - np.uint64(1)), b[more])
-            v[todo] = (v[todo] << _U8 | data[lanes[todo], at[lanes[todo]]]) & MASK
-            at[lanes[todo]] += 1
-            lo[todo], r[todo] = (a << _U8) & MASK, (b << _U8) & MASK
-        low[where], span[where], value[where] = lo, r, v
-
+        value = value << _U16 | data[:, k]
+    ids = np.zeros((steps, n), np.int32)
     for i in range(steps):
         m = int(live[i])
         model.predict(m)
-        ends = model.cumulative
-        t = target(slice(0, m), ends[:, 3])
-        event = (t[:, None] >= ends[:, :3]).sum(1)
-        width = model.freq[model.lane[:m], event]
-        skip(slice(0, m), ends[model.lane[:m], event] - width, width)
-        x = np.where(event == 0, model.p2, np.where(event == 1, model.p1, model.p0))
-        if len(raw := np.flatnonzero(event == 3)):
-            x[raw] = target(raw, IDS)
-            skip(raw, x[raw], np.ones(len(raw), np.int64))
+        share = span[:m] // model.total
+        target = np.minimum((value[:m] - low[:m]) // share, model.total - np.uint64(1))
+        spot, ends = (target >> _U16).astype(np.int32), model.begin
+        event = (spot >= ends[:, 1]).astype(np.int64) + (spot >= ends[:, 2]) + (spot >= ends[:, 3])
+        begin, width = model.part(event)
+        none, start = event == 3, begin << _U16
+        number = np.where(none, (target - start) // np.maximum(width, np.uint64(1)), np.uint64(0))
+        low[:m] += (start + number * width * none) * share
+        span[:m] = share * np.where(none, width, width << _U16)
+        x = np.where(event == 0, model.p2, np.where(event == 1, model.p1, np.where(none, number.astype(np.int32), model.p0)))
         ids[i, :m] = x
         model.update(x, event)
+        lanes, a, b = np.arange(m), low[:m], span[:m]
+        while True:
+            where, b = _settled(a, b)
+            if not len(where):
+                break
+            lanes, a = lanes[where], a[where]
+            to = np.minimum(at[lanes], data.shape[1] - 1)  # a damaged block may ask for more than there is
+            value[lanes] = value[lanes] << _U16 | data[lanes, to]
+            at[lanes] = to + 1
+            a, b = a << _U16, b << _U16
+            low[lanes], span[lanes] = a, b
     out: list[np.ndarray] = [np.zeros(0, np.uint16)] * n
     for lane, k in enumerate(order):
-        out[k] = ids[: sizes[k], lane].copy()
+        out[k] = ids[: sizes[k], lane].astype(np.uint16)
     return out
 
 

@@ -28,7 +28,7 @@ from textloom.llm.common import map_arrow, shared_dir, text_or_empty, written
 MAGIC = b"TLID0001"
 END_ID = 1
 #: Blocks that are coded together.
-LANES = 2048
+LANES = 8192
 
 FILES = "part int, path string, documents long, ids long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
