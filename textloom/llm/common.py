@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Rows in one Arrow batch. Texts can be megabytes long, so a batch is kept small.
 BATCH_ROWS = 500
 
+#: So many ids, of 8 bytes each, may be sent to all executors.
+SENT_IDS = 1_000_000
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -41,6 +44,15 @@ def written(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def by_ids(rows: DataFrame, ids: DataFrame, key: str, how: str) -> DataFrame:
+    """rows joined (left_semi or left_anti) with a written table of distinct ids.
+
+    At most SENT_IDS of them, by count, go to all executors, and rows stay where they are; beyond
+    that both sides are shuffled.
+    """
+    return rows.join(F.broadcast(ids) if ids.count() <= SENT_IDS else ids, key, how)
+
+
 def text_or_empty(name: str = "text") -> Column:
     return F.coalesce(F.col(name), F.lit(""))
 

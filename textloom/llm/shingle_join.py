@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_arrow, text_or_empty, written
+from textloom.llm.common import by_ids, map_arrow, text_or_empty, written
 from textloom.llm.components import components
 
 WORDS = 5
@@ -115,28 +115,42 @@ def _levels(scan: DataFrame) -> np.ndarray:
 
 
 def _prefixes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
-    """shingle, doc, n, pos for the prefix of each document's set, rarest first."""
+    """Two kinds of rows: shingle, doc, n and pos for the prefix of each document's set, rarest first; doc, n and map.
+
+    A map has a bit for each part of the hash range that the whole set has shingles in.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(levels)  # 2 ** CELL_BITS bytes
+    kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache, levels, shift = WordHashes(), sent.value, np.uint64(64 - CELL_BITS)
+        part = np.uint64(65 - MAP_BITS.bit_length())
+        names = ["shingle", "doc", "n", "pos", "map"]
         for batch in batches:
-            shingles, docs_, sizes, places = [], [], [], []
+            shingles, docs_, sizes, bits = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 s = shingle_set(text, cache)
                 n = len(s)
                 if not n:
                     continue
+                row = np.zeros(MAP_BITS, bool)
+                row[(s >> part).astype(np.int64)] = True
+                bits.append(row)
                 keep = n - (percent * n + 99) // 100 + 1
-                s = s[np.argsort(levels[(s >> shift).astype(np.int64)], kind="stable")]
-                shingles.append(s[:keep])
-                docs_.append(np.full(keep, doc, np.int64))
-                sizes.append(np.full(keep, n, np.int32))
-                places.append(np.arange(keep, dtype=np.int32))
-            if shingles:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), *(pa.array(np.concatenate(x)) for x in (docs_, sizes, places))], ["shingle", "doc", "n", "pos"])
-
-    return map_arrow(docs, run, "shingle long, doc long, n int, pos int")
+                shingles.append(s[np.argsort(levels[(s >> shift).astype(np.int64)], kind="stable")][:keep])
+                docs_.append(doc)
+                sizes.append(n)
+            if not docs_:
+                continue
+            k, kept = len(docs_), [len(x) for x in shingles]
+            docs_, sizes = np.array(docs_, np.int64), np.array(sizes, np.int32)
+            places = np.concatenate([np.arange(x, dtype=np.int32) for x in kept])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(shingles).view(np.int64)), pa.array(np.repeat(docs_, kept)), pa.array(np.repeat(sizes, kept)), pa.array(places), pa.nulls(len(places), kind)], names)
+            longs = np.packbits(np.array(bits), axis=1).view(np.int64)
+            maps = pa.ListArray.from_arrays(pa.array(np.arange(k + 1, dtype=np.int32) * longs.shape[1]), pa.array(longs.reshape(-1)))
+            yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(docs_), pa.array(sizes), pa.nulls(k, pa.int32()), maps], names)
+
+    return map_arrow(docs, run, "shingle long, doc long, n int, pos int, map array<long>")
 
 
 def _needed(na: Column, nb: Column, percent: int) -> Column:
@@ -168,21 +182,6 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     return map_arrow(full.select("a", "b", "text_a", "text_b"), run, "a long, b long")
 
 
-def _maps(docs: DataFrame) -> DataFrame:
-    """doc and a bit for each part of the hash range that its set has shingles in."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, shift = WordHashes(), np.uint64(65 - MAP_BITS.bit_length())
-        for batch in batches:
-            bits = np.zeros((batch.num_rows, MAP_BITS), bool)
-            for k, text in enumerate(batch.column(1).to_pylist()):
-                bits[k, (shingle_set(text, cache) >> shift).astype(np.int64)] = True
-            longs = np.packbits(bits, axis=1).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(longs), pa.list_(pa.int64()))], ["doc", "map"])
-
-    return map_arrow(docs.select("doc", "text"), run, "doc long, map array<long>")
-
-
 def _missing(a: str, b: str) -> Column:
     """Parts that the map a has and b lacks: as many shingles at least aren't shared."""
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda acc, n: acc + n)
@@ -203,29 +202,31 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
     rows = written(sets.join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "classes")
-    reps = rows.where("rep IS NOT NULL AND doc_id = rep").select(F.col("rep").alias("doc"), "n").distinct()
-    # One text for each class: rows of a doc_id with several texts are told apart by their sets' sizes, then by text.
-    texts = plain.join(reps.select(F.col("doc").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("doc"), "text")
+    # Only texts of a class's representative matter; those of the other rows, the copies, are left out.
+    copies = rows.where("rep IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("rep")).alias("stands")).where("NOT stands").select("doc_id")
+    known = plain.where("doc_id IS NOT NULL")
+    texts = by_ids(known, written(copies, "copies"), "doc_id", "left_anti").select(F.col("doc_id").alias("doc"), "text")
 
-    prefixes = written(_prefixes(texts, levels, percent), "prefixes")
+    made = written(_prefixes(texts, levels, percent), "prefixes")
+    prefixes, maps = made.where("shingle IS NOT NULL").drop("map"), made.where("map IS NOT NULL").select("doc", "n", "map")
     shared = prefixes.groupBy("shingle").agg(F.min("doc").alias("hub"), F.count(F.lit(1)).alias("k")).where("k > 1").drop("k")
     postings = written(prefixes.join(shared, "shingle"), "postings")
 
-    sizes = reps.groupBy("doc").agg(F.max("n").alias("n"))
-    hub_sizes = sizes.select(F.col("doc").alias("a"), F.col("n").alias("na"))
-    star = postings.where("hub <> doc").select(F.col("hub").alias("a"), F.col("doc").alias("b"), F.col("n").alias("nb")).distinct()
-    fits = F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent
-    star = star.join(hub_sizes, "a").where(fits).select("a", "b", "na", "nb")
+    # The length filter; a document with several texts has several sizes.
+    hubs = rows.where("doc_id = rep").groupBy(F.col("rep").alias("a")).agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    star = postings.where("hub <> doc").select(F.col("hub").alias("a"), F.col("doc").alias("b"), "n").distinct()
+    fits = (F.col("n") * 100 >= F.col("low") * percent) & (F.col("high") * 100 >= F.col("n") * percent)
+    star = star.join(hubs, "a").where(fits).select("a", "b").distinct()
 
     def checked(pairs: DataFrame) -> DataFrame:
-        """pairs(a, b, na, nb) that link. The suffix filter comes first: the parts of the hash range in which one set lies and the other doesn't."""
+        """pairs(a, b) that link. The suffix filter comes first: the parts of the hash range in which one set lies and the other doesn't."""
         pairs = written(pairs, "candidates")
-        wanted = pairs.select(F.col("a").alias("doc")).union(pairs.select(F.col("b").alias("doc"))).distinct()
-        some = written(plain.select(F.col("doc_id").alias("doc"), "text").join(wanted, "doc", "left_semi"), "texts")
-        maps = written(_maps(some), "maps")
-        bounded = pairs.join(maps.select(F.col("doc").alias("a"), F.col("map").alias("map_a")), "a").join(maps.select(F.col("doc").alias("b"), F.col("map").alias("map_b")), "b")
+        of_a, of_b = (maps.select(F.col("doc").alias(c), F.col("n").alias(f"n{c}"), F.col("map").alias(f"map_{c}")) for c in "ab")
         most = F.least(F.col("na") - _missing("map_a", "map_b"), F.col("nb") - _missing("map_b", "map_a"))
-        left = bounded.where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+        left = pairs.join(of_a, "a").join(of_b, "b").where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
+        left = written(left, "bounded")
+        wanted = written(left.select(F.col("a").alias("doc")).union(left.select(F.col("b").alias("doc"))).distinct(), "wanted")
+        some = by_ids(known.select(F.col("doc_id").alias("doc"), "text"), wanted, "doc", "left_semi")
         return written(_verified(left, some, percent), "links")
 
     own = rows.where("rep IS NOT NULL").groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("v")).where("u <> v")
@@ -241,8 +242,8 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
     long_enough = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (rest >= _needed(F.col("n_a"), F.col("n_b"), percent))
     pairs = a.join(b, "shingle").where((F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b")) & long_enough)
-    pairs = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b"), F.col("n_a").alias("na"), F.col("n_b").alias("nb")).distinct()
-    more = checked(pairs.join(star.select("a", "b"), ["a", "b"], "left_anti"))
+    pairs = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    more = checked(pairs.join(star, ["a", "b"], "left_anti"))
 
     merged = near.select(F.col("doc").alias("u"), F.col("component").alias("v")).union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
     final = components(merged).withColumnRenamed("node", "rep")
