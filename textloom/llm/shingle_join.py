@@ -14,6 +14,7 @@ each. Pairs that pass the filters are checked once, on whole texts.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,19 +37,13 @@ CELL_BITS, CHUNK_BITS = 23, 13
 BLOCK, OFTEN = 8_000_000, 2
 #: Parts of the hash range; those that one set has and another lacks bound their intersection from above.
 MAP_BITS = 2048
-KEPT_WORDS = 400_000
+#: Bytes of a text that are hashed together.
+PIECE = 1 << 18
 
 _FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-
-
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(word) <= 16:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[word] = h
-        return h
+_BASE = 0x5851F42D4C957F2B
+_CODES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
+_GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
 def _mixed(h: np.ndarray) -> np.ndarray:
@@ -56,14 +51,44 @@ def _mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(29))
 
 
-def shingle_set(text: str, cache: WordHashes) -> np.ndarray:
+def _powers(n: int, kept: dict[str, np.ndarray] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  kept from call to call
+    """The powers of _BASE and of its inverse modulo 2 ** 64, n of them or more."""
+    if len(kept.get("up", ())) < n:
+        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
+            steps = np.full(max(n, PIECE), base, np.uint64)
+            steps[0] = 1
+            kept[name] = np.cumprod(steps)
+    return kept["up"], kept["down"]
+
+
+def word_hashes(data: bytes) -> np.ndarray:
+    """A 64-bit hash of each word: a polynomial of its bytes' codes, mixed. Pieces that end at white space bound the memory."""
+    out, at = [np.zeros(0, np.uint64)], 0
+    while at < len(data):
+        end = at + PIECE
+        if end < len(data):
+            gap = _GAP.search(data, end)
+            end = gap.start() if gap else len(data)
+        piece = np.frombuffer(data[at:end], np.uint8)
+        at, n = end, len(piece)
+        solid = np.zeros(n + 2, bool)
+        np.logical_and(piece != 32, piece - np.uint8(9) > 4, out=solid[1:-1])
+        edges = np.flatnonzero(solid[1:] != solid[:-1])
+        starts, ends = edges[::2], edges[1::2]
+        up, down = _powers(n)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(_CODES.take(piece) * up[:n], out=sums[1:])
+        out.append(_mixed((sums[ends] - sums[starts]) * down[starts]))
+    return np.concatenate(out)
+
+
+def shingle_set(text: str) -> np.ndarray:
     """Sorted distinct shingle hashes. Fewer than five words are one shingle; none, no shingle."""
-    words = text.encode("utf-8", "surrogatepass").lower().split()  # bytes: A-Z, and the six ASCII white-space characters
-    if not words:
-        return np.zeros(0, np.uint64)
-    h = np.fromiter(map(cache.__getitem__, words), np.uint64, len(words))
+    h = word_hashes(text.encode("utf-8", "surrogatepass").lower())  # bytes: A-Z only
+    if not len(h):
+        return h
     with np.errstate(over="ignore"):
-        size = min(WORDS, len(words))
+        size = min(WORDS, len(h))
         total = np.full(len(h) - size + 1, size, np.uint64)
         for k in range(size):
             total = _mixed(total + h[k : len(h) - size + 1 + k] * _FACTORS[k])
@@ -74,7 +99,7 @@ def _scan(docs: DataFrame) -> DataFrame:
     """Two kinds of rows: doc_id, n and digest of each document's set; shingle and count where frequent in a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, block, held = WordHashes(), [], 0
+        block, held = [], 0
 
         def counted() -> pa.RecordBatch:
             values, counts = np.unique(np.concatenate(block), return_counts=True) if block else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
@@ -83,7 +108,7 @@ def _scan(docs: DataFrame) -> DataFrame:
             return pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.array(counts[often], pa.int64()), pa.nulls(k, pa.binary()), pa.array(values[often].view(np.int64), pa.int64())], ["doc_id", "n", "digest", "shingle"])
 
         for batch in batches:
-            sets = [shingle_set(text, cache) for text in batch.column(1).to_pylist()]
+            sets = [shingle_set(text) for text in batch.column(1).to_pylist()]
             digests = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.nulls(len(sets), pa.int64())], ["doc_id", "n", "digest", "shingle"])
             block += sets
@@ -123,13 +148,13 @@ def _prefixes(docs: DataFrame, levels: np.ndarray, percent: int) -> DataFrame:
     kind = pa.list_(pa.int64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, levels, shift = WordHashes(), sent.value, np.uint64(64 - CELL_BITS)
+        levels, shift = sent.value, np.uint64(64 - CELL_BITS)
         part = np.uint64(65 - MAP_BITS.bit_length())
         names = ["shingle", "doc", "n", "pos", "map"]
         for batch in batches:
             shingles, docs_, sizes, bits = [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                s = shingle_set(text, cache)
+                s = shingle_set(text)
                 n = len(s)
                 if not n:
                     continue
@@ -165,13 +190,13 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache, last, of_last = WordHashes(), None, np.zeros(0, np.uint64)
+        last, of_last = None, np.zeros(0, np.uint64)
         for batch in batches:
             hits = []
             for k, (a, text_a, text_b) in enumerate(zip(*(batch.column(c).to_pylist() for c in (0, 2, 3)), strict=True)):
                 if a != last:
-                    last, of_last = a, shingle_set(text_a, cache)
-                other = shingle_set(text_b, cache)
+                    last, of_last = a, shingle_set(text_a)
+                other = shingle_set(text_b)
                 both = len(np.intersect1d(of_last, other, assume_unique=True))
                 if 100 * both >= percent * (len(of_last) + len(other) - both):
                     hits.append(k)
