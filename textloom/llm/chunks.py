@@ -9,14 +9,15 @@ whole.
 
 from __future__ import annotations
 
+import gc
 from itertools import chain
 
 import regex
 
 from textloom.llm.pair_merger import PairMerger
 
-#: Entries of a worker's cache: some 150 MB.
-KEPT_ENTRIES = 600_000
+#: Entries of each of the two generations of a worker's cache: some 125 MB.
+KEPT_ENTRIES = 500_000
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 
 
@@ -30,9 +31,21 @@ class WordwiseEncoder:
     def __init__(self, merger: PairMerger, pattern: str, spaced: bool = True, whole: dict[bytes, bytes] | None = None, entries: int = KEPT_ENTRIES):
         self.merger, self.spaced, self.whole, self.entries = merger, spaced, whole or {}, entries
         self.matches = regex.compile(pattern).findall
+        #: Full, words become the former ones, from which those met again come back.
         self.words: dict[str, bytes] = {}
+        self.former: dict[str, bytes] = {}
 
     def batch(self, texts: list[str]) -> list[bytes]:
+        # A batch makes many strings and tuples but no cycles: the search for those would only cost time.
+        collects = gc.isenabled()
+        gc.disable()
+        try:
+            return self._batch(texts)
+        finally:
+            if collects:
+                gc.enable()
+
+    def _batch(self, texts: list[str]) -> list[bytes]:
         out: list[bytes | None] = []
         if not self.spaced:
             cut = [text.replace("\n", " ").split(" ") for text in texts]
@@ -55,6 +68,9 @@ class WordwiseEncoder:
         """Ids of all words needed: the cache's, and those of new words, which it keeps."""
         local = dict(zip(needed, map(self.words.get, needed), strict=True))
         new = [word for word, ids in local.items() if ids is None]
+        found = {word: ids for word, ids in zip(new, map(self.former.get, new), strict=True) if ids is not None}
+        local.update(found)
+        new = [word for word in new if word not in found]
         tailed: list[tuple[str, str, str]] = []
         plain: set[str] = set()
         other = []
@@ -66,11 +82,12 @@ class WordwiseEncoder:
             else:
                 other.append(word)
         cores = {core for _, core, _ in tailed}
-        known = {core: ids for core in cores if (ids := self.words.get(core)) is not None}
+        known = {core: ids for core in cores if (ids := self.words.get(core) or self.former.get(core)) is not None}
         letters = list(plain.union(cores).difference(known))
         space = b" " if self.spaced else b""
-        found = dict(zip(letters, self._of_matches([space + word.encode() for word in letters]), strict=True))
-        known.update(found)
+        made = dict(zip(letters, self._of_matches([space + word.encode() for word in letters]), strict=True))
+        found.update(made)
+        known.update(made)
         tails = list({tail for _, _, tail in tailed})
         tail_ids = dict(zip(tails, self._of_matches([tail.encode() for tail in tails]), strict=True))
         for word, core, tail in tailed:
@@ -81,7 +98,7 @@ class WordwiseEncoder:
         else:
             found.update(zip(other, self._of_strings(other), strict=True))
         if len(self.words) + len(found) > self.entries:
-            self.words.clear()
+            self.words, self.former = {}, self.words
         self.words.update(found)
         local.update(found)
         return local
