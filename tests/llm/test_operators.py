@@ -3,7 +3,7 @@
 import base64
 import hashlib
 import re
-from collections import defaultdict
+from collections import Counter, defaultdict
 from zlib import crc32
 
 import numpy as np
@@ -159,6 +159,22 @@ def test_fingerprints(docs, empty):
     assert fingerprints.fingerprint_edits(empty).count() == 0
 
 
+def test_likeness_is_near_the_exact_one(spark):
+    rng, texts = np.random.default_rng(5), []
+    for k in range(120):
+        a = rng.integers(0, 60, 80)
+        b = np.where(rng.random(80) < k / 120, rng.integers(0, 60, 80), a)
+        texts += [" ".join(f"w{x}" for x in a), " ".join(f"w{x}" for x in b)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string")
+    prints = {r["k"]: r["fingerprint"] for r in fingerprints.signatures(rows, ["k"]).collect()}
+    errors = []
+    for k in range(0, len(texts), 2):
+        a, b = Counter(texts[k].split()), Counter(texts[k + 1].split())
+        same = np.mean([prints[k][8 * i : 8 * i + 8] == prints[k + 1][8 * i : 8 * i + 8] for i in range(len(prints[k]) // 8)])
+        errors.append(same - (a & b).total() / (a | b).total())
+    assert abs(np.mean(errors)) < 0.02 and np.mean(np.abs(errors)) < 0.055 and np.max(np.abs(errors)) < 0.25
+
+
 def test_url_rules_and_model(spark):
     cases = {"http://A.Example.ORG/es/1": "block", "http://example.org/en/12?x": "block", "http://example.org/en/2": "allow", "https://b.com/fr/": "allow", "x://com/de/": "block", "http://cheap-pills.example.net/buy": "block", "http://library.example.net/books": "allow"}
     rows = [*enumerate(cases), (None, None), (99, "nothing")]

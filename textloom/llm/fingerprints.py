@@ -5,20 +5,28 @@ term draws r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1) from its hash, and t = floor
 term of least ln a = ln c - r (t - b + 1) is the sample, and (term, t) its value: two texts agree in
 a sample with a probability equal to the generalised Jaccard similarity of their weights.
 
-r and c are sums of two exponentials, each from 20 bits of the hash.
+The draws come from three exponentials: with a1 = e1, z = ln((e1 + e2) / e1) and r = z + e3, b is
+1 - z / r and c is a1 exp(z), which have the joint distribution above. Then t is 0 where ln w < z,
+else floor((ln w - z) / r) + 1, and a = a1 exp(-r t). So a word that comes once needs its hash alone:
+t is 0 and a1 its sample. Samples are compared by 1 - exp(-a), in steps of 2^-31; that of a1 is the
+upper bits of the hash.
 """
 
 from __future__ import annotations
 
+from hashlib import blake2b
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from textloom.llm.common import text_or_empty
 
-SAMPLES = 16
+SAMPLES, GROUP = 64, 8
 #: Documents in one bucket of consecutive ids, and how many buckets there are at most.
 BUCKET_ROWS, MAX_BUCKETS = 200, 8192
+#: What tells the hash functions of a group apart: signed 64-bit.
+SALTS = [int.from_bytes(blake2b(k.to_bytes(4), digest_size=8).digest(), signed=True) for k in range(GROUP)]
 
 
 def _bits(h: Column, low: int, n: int) -> Column:
@@ -30,16 +38,18 @@ def _uniform(h: Column, low: int) -> Column:
 
 
 def _sample(term: Column, log_weight: Column, k: int) -> Column:
-    """ln a, scaled to 31 bits, above the 32 bits that name (term, t); its least is the sample."""
-    h = F.xxhash64(term, F.lit(k))
+    """1 - exp(-a), scaled to 31 bits, above the 32 bits that name (term, t); its least is the sample."""
+    h = F.xxhash64(term.bitwiseXOR(F.lit(SALTS[k])))
+    once = F.shiftrightunsigned(h, 1)
     again = F.xxhash64(h)
-    c = -F.ln(_uniform(h, 0) * _uniform(h, 20))
-    r = -F.ln(_uniform(again, 0) * _uniform(again, 20))
-    b = _uniform(again, 40)
-    t = F.floor(log_weight / r + b)
-    scaled = ((F.ln(c) - r * (t - b + 1) + 64) * float(1 << 24)).cast("long")
-    name = term.bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit((1 << 32) - 1))
-    return F.shiftleft(scaled, 32).bitwiseOR(name)
+    e1 = -F.log1p(-(F.shiftrightunsigned(h, 33) + F.lit(0.5)) / F.lit(float(1 << 31)))
+    e2, e3 = -F.ln(_uniform(again, 0)), -F.ln(_uniform(again, 20))
+    z = F.ln((e1 + e2) / e1)
+    r = z + e3
+    t = F.floor((log_weight - z) / r) + 1
+    scaled = (-F.expm1(-e1 * F.exp(-r * t)) * float(1 << 31)).cast("long")
+    name = once.bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit((1 << 32) - 1))
+    return F.when((log_weight == 0) | (log_weight < z), once).otherwise(F.shiftleft(scaled, 32).bitwiseOR(name))
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -50,10 +60,14 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     """
     words = texts.select(*keys, F.explode(F.split(F.col(text), r"\s+")).alias("word"))
     terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("w"))
-    terms = terms.select(*keys, "term", F.ln(F.col("w").cast("double")).alias("lw"))
-    least = terms.groupBy(*keys).agg(*(F.min(_sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(SAMPLES)))
-    digits = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 32) - 1)))), 8, "0") for k in range(SAMPLES)]
-    return least.select(*keys, F.concat(*digits).alias("fingerprint"))
+    # GROUP samples to a row: one row for all would need more code than the JVM compiles.
+    groups = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.xxhash64("term", F.lit(g)).alias("term")) for g in range(SAMPLES // GROUP)))).alias("s")
+    terms = terms.select(*keys, F.ln(F.col("w").cast("double")).alias("lw"), groups).select(*keys, "lw", "s.g", "s.term")
+    least = terms.groupBy(*keys, "g").agg(*(F.min(_sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(GROUP)))
+    digits = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 32) - 1)))), 8, "0") for k in range(GROUP)]
+    parts = least.select(*keys, "g", F.concat(*digits).alias("part"))
+    whole = [F.max(F.when(F.col("g") == g, F.col("part"))).alias(f"p{g}") for g in range(SAMPLES // GROUP)]
+    return parts.groupBy(*keys).agg(*whole).select(*keys, F.concat(*(f"p{g}" for g in range(SAMPLES // GROUP))).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
