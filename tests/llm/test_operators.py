@@ -12,7 +12,8 @@ import pytest
 import tiktoken
 from tokenizers import Tokenizer
 
-from textloom.llm import ann, byte_bpe, fingerprints, id_coder, id_files, packing, pii, quality, shingle_join, urls, vocab_ids, warc
+import corpus_pipeline
+from textloom.llm import ann, byte_bpe, fingerprints, id_coder, id_files, packing, pii, quality, queries, shingle_join, urls, vocab_ids, warc
 
 TEXTS = [
     "the quick brown fox jumps over the lazy dog again and again",
@@ -90,6 +91,35 @@ def test_vocabularies_equal_the_library(name):
         assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
 
 
+ADDED = ["a <|endoftext|> b", "<|startoftext|>A<|endoftext|><|endoftext|>", "x" * 50 + "<|ENDOFTEXT|> <|endoftext|", "é 日本<|endoftext|>\n\n c"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_added_tokens_as_the_library_is_loaded(name):
+    path = public_tokenizers.path(name)
+    library = Tokenizer.from_file(path)
+    texts = [t or "" for t in TEXTS] + ADDED
+    for text, ids in zip(texts, vocab_ids.loaded(path, added=True).batch(texts), strict=True):
+        assert np.frombuffer(ids, "<u2").tolist() == library.encode(text, add_special_tokens=False).ids
+
+
+def test_queries_give_added_tokens_their_ids(spark, tmp_path):
+    rows = [(i, t, "en", "s", len(t)) for i, t in enumerate(ADDED)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = {}
+    for name in ("byte_bpe_50k.json", "word_bpe_49k.json"):
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        want[name] = [np.array([*library.encode(t, add_special_tokens=False).ids, 1], "<u4") for t in ADDED]
+    for pieces in (queries.op6_packing(spark, str(tmp_path)), corpus_pipeline.packing_stage(spark, docs, str(tmp_path))):
+        for p in pieces.collect():
+            ids = want["byte_bpe_50k.json"][p["doc_id"]]
+            assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+    got = [(r["doc_id"], r["start"], r["n_tokens"], r["ids_crc32"]) for r in queries.op10_id_files(spark, str(tmp_path)).orderBy("doc_id").collect()]
+    ids = want["word_bpe_49k.json"]
+    assert got == [(k, sum(map(len, ids[:k])), len(x), crc32(x.tobytes())) for k, x in enumerate(ids)]
+
+
 def test_packing_holds_every_id_once(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
     pieces, sequences, covered = packing.pack(docs, path).collect(), defaultdict(list), defaultdict(int)

@@ -111,18 +111,18 @@ def read_id_file(file) -> Iterator[tuple[int | None, np.ndarray]]:
         rest = joined[count:]
 
 
-def write_files(docs: DataFrame, vocabulary: str, folder: str) -> DataFrame:
+def write_files(docs: DataFrame, vocabulary: str, folder: str, added: bool = False) -> DataFrame:
     """Writes the ids of all documents to files in folder, in ascending doc_id order; part, path, documents and ids of each.
 
     Rows without a doc_id come first; rows of one doc_id follow one another by text. A null text is
-    empty and has the end id alone. Other columns are not read.
+    empty and has the end id alone. Other columns are not read. added is that of VocabularyIds.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
     rows = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
-        encoder, end, writer = vocab_ids.loaded(vocabulary), np.array([END_ID], "<u2").tobytes(), None
+        encoder, end, writer = vocab_ids.loaded(vocabulary, added), np.array([END_ID], "<u2").tobytes(), None
         part = TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
@@ -170,6 +170,6 @@ def _documents(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], pa.int64()) for k in range(4)], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
 
-def file_round_trip(docs: DataFrame, vocabulary: str) -> DataFrame:
+def file_round_trip(docs: DataFrame, vocabulary: str, added: bool = False) -> DataFrame:
     """Writes the ids of every document to files and reads them back. An empty table gives an empty result."""
-    return read_files(write_files(docs, vocabulary, shared_dir(docs.sparkSession, "ids")))
+    return read_files(write_files(docs, vocabulary, shared_dir(docs.sparkSession, "ids"), added))

@@ -33,11 +33,11 @@ CHAIN = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def tokenized(docs: DataFrame, vocabulary: str) -> DataFrame:
+def tokenized(docs: DataFrame, vocabulary: str, added: bool = False) -> DataFrame:
     """doc_id, source, n (ids with the end id) and ids (unsigned 16-bit) of every row; a null text is empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = vocab_ids.loaded(vocabulary), np.array([END_ID], "<u2").tobytes()
+        encoder, end = vocab_ids.loaded(vocabulary, added), np.array([END_ID], "<u2").tobytes()
         for batch in batches:
             ids = [i + end for i in encoder.batch(batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array(ids, pa.binary())], ["doc_id", "source", "n", "ids"])
@@ -93,16 +93,16 @@ def round_robin(lengths: dict[str, list[int]], targets: dict[str, float], defici
     return out
 
 
-def pack(docs: DataFrame, vocabulary: str) -> DataFrame:
+def pack(docs: DataFrame, vocabulary: str, added: bool = False) -> DataFrame:
     """Every id of every document in exactly one piece of a sequence of at most WINDOW ids.
 
     Returns doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. Null and empty texts
     give one piece, the end id alone. Null sources are one source. Rows are packed one by one, also
-    those with equal or null doc_id. An empty table gives an empty result.
+    those with equal or null doc_id. added is that of VocabularyIds. An empty table gives an empty result.
     """
     spark = docs.sparkSession
     bounded_batches(spark)
-    tokens = written(tokenized(docs, vocabulary).withColumn("row", F.monotonically_increasing_id()), "packing")
+    tokens = written(tokenized(docs, vocabulary, added).withColumn("row", F.monotonically_increasing_id()), "packing")
     total = tokens.agg(F.sum("n")).first()[0] or 0
     parts = -(-total // TOKENS_EACH)
     by_part = tokens.withColumn("part", F.pmod(F.xxhash64("doc_id", "row"), F.lit(max(parts, 1))))

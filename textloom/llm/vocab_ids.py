@@ -30,13 +30,19 @@ _PLAIN = regex.compile(r"[\x20-\x7e\n\xa1-\xff]*").fullmatch
 
 
 class VocabularyIds:
-    """Ids of texts, packed as little-endian unsigned 16-bit integers."""
+    """Ids of texts, packed as little-endian unsigned 16-bit integers.
 
-    def __init__(self, path: str):
+    added: the strings of the vocabulary's added tokens get those tokens' ids, as in the library as
+    it is loaded; otherwise they are ordinary text.
+    """
+
+    def __init__(self, path: str, added: bool = False):
         with open(path, "rb") as f:
             spec = json.load(f)
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.library.encode_special_tokens = not added
+        #: Texts that hold one of these go to the library.
+        self.added = [token["content"] for token in spec["added_tokens"]] if added else []
         vocabulary, suffix = spec["model"]["vocab"], spec["model"]["end_of_word_suffix"] or ""
         pairs = {}
         for rank, pair in enumerate(spec["model"]["merges"]):
@@ -51,22 +57,20 @@ class VocabularyIds:
         self.words = WordwiseEncoder(merger, pattern, spaced=not self.lower)
 
     def batch(self, texts: list[str]) -> list[bytes]:
-        if not self.lower:
-            return self.words.batch(texts)
-        plain = [k for k, text in enumerate(texts) if _PLAIN(text)]
+        plain = [k for k, text in enumerate(texts) if (not self.lower or _PLAIN(text)) and not any(token in text for token in self.added)]
         out: list[bytes] = [b""] * len(texts)
-        for k, ids in zip(plain, self.words.batch([texts[k].lower() for k in plain]), strict=True):
+        for k, ids in zip(plain, self.words.batch([texts[k].lower() if self.lower else texts[k] for k in plain]), strict=True):
             out[k] = ids
         for k in set(range(len(texts))).difference(plain):
             out[k] = np.array(self.library.encode(texts[k], add_special_tokens=False).ids, "<u2").tobytes()
         return out
 
 
-_LOADED: dict[str, VocabularyIds] = {}
+_LOADED: dict[tuple[str, bool], VocabularyIds] = {}
 
 
-def loaded(path: str) -> VocabularyIds:
+def loaded(path: str, added: bool = False) -> VocabularyIds:
     """One encoder, with its cache, for each worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = VocabularyIds(path)
-    return _LOADED[path]
+    if (path, added) not in _LOADED:
+        _LOADED[path, added] = VocabularyIds(path, added)
+    return _LOADED[path, added]
