@@ -2,6 +2,8 @@
 
 import glob
 import os
+import re
+from collections import Counter
 
 import duckdb
 import numpy as np
@@ -41,6 +43,20 @@ def test_fidelity(spark):
     assert round(one(spark, low), 3) == 0.764 and round(one(spark, high), 3) == 0.991
 
 
+def test_repetition_equals_brute_force(spark, tmp_path):
+    def brute(text):
+        w = (text or "").split()
+        grams = Counter(tuple(w[i : i + 4]) for i in range(len(w) - 3))
+        return bool(re.search(r"(\S)\1{9,}", text or "")) or any(len(set(g)) == 1 or n >= 3 for g, n in grams.items())
+
+    texts = ["19.08.1992..........", "." * 9, "." * 10, "a" + " " * 12 + "b", "x\n" * 3, "no no no no", "no no no", "a b c d " * 3, "a b c d " * 2, "😀" * 10, "😀" * 9, "\u3000" * 10, "\x1c" * 12, "ааааааааааа", "", None]
+    rows = spark.createDataFrame([(1, k, t) for k, t in enumerate(texts)], "conv_id long, turn int, text string")
+    rows.write.parquet(f"{tmp_path}/conversations.parquet")
+    want = {k: brute(t) for k, t in enumerate(texts)}
+    assert {r["turn"]: r["repeated"] for r in evaluation.repetition_flags(rows, ["conv_id", "turn"], "text").collect()} == want
+    assert {r["turn"]: r["repeated"] for r in catalog.QUERIES["repetition"](spark, str(tmp_path)).collect()} == want
+
+
 def test_splits_and_repair():
     split = evaluation.make_split([str(i) for i in range(30)], 13, (0.8, 0.1, 0.1))
     assert {k: len(v) for k, v in split.items()} == {"train": 24, "dev": 3, "test": 3}

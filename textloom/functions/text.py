@@ -100,4 +100,5 @@ def length_bucket(n: Column) -> Column:
 
 
 def repeated_char(text: Column) -> Column:
-    return text.rlike(r"(?s)(.)\1{9}")
+    """Ten equal characters in a row, other than white space in the sense of Python's."""
+    return text.rlike(r"(?U)([^\s\x1c-\x1f])\1{9}")

@@ -27,17 +27,17 @@ def glossary_hits(segments: DataFrame, glossary: DataFrame, text: str) -> DataFr
 
 
 def repetition_flags(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, repeated: four equal words in a row, or a run of four words three times.
+    """keys, repeated: four equal words in a row, a run of four words three times, or ten equal characters in a row.
 
     Each array is a column of its own before a lambda reads it, so none is built again for each element.
     """
-    grams = rows.select(*keys, T.words(F.col(text)).alias("w"))
+    grams = rows.select(*keys, F.coalesce(T.repeated_char(F.col(text)), F.lit(False)).alias("run"), T.words(F.col(text)).alias("w"))
     starts = F.when(F.size("w") >= 4, F.sequence(F.lit(1), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
-    grams = grams.select(*keys, "w", F.transform(starts, lambda i: F.array_join(F.slice("w", i, 4), " ")).alias("g"))
+    grams = grams.select(*keys, "run", "w", F.transform(starts, lambda i: F.array_join(F.slice("w", i, 4), " ")).alias("g"))
     ordered = F.sort_array(F.coalesce("g", F.array().cast("array<string>")))
-    long = grams.select(*keys, F.explode_outer(F.arrays_zip(ordered.alias("g"), F.slice(ordered, F.lit(3), F.greatest(F.size(ordered), F.lit(0))).alias("two_on"))).alias("x"))
+    long = grams.select(*keys, "run", F.explode_outer(F.arrays_zip(ordered.alias("g"), F.slice(ordered, F.lit(3), F.greatest(F.size(ordered), F.lit(0))).alias("two_on"))).alias("x"))
     same_words = F.regexp_extract("x.g", r"^(\S+)(?: \1){3}$", 1) != ""
-    found = F.bool_or(F.coalesce((F.col("x.g") == F.col("x.two_on")) | same_words, F.lit(False)))
+    found = F.bool_or(F.col("run") | F.coalesce((F.col("x.g") == F.col("x.two_on")) | same_words, F.lit(False)))
     return long.groupBy(*keys).agg(found.alias("repeated"))
 
 
