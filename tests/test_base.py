@@ -3,6 +3,9 @@
 import glob
 import os
 import re
+import shutil
+import subprocess
+import sys
 from collections import Counter
 
 import duckdb
@@ -102,3 +105,18 @@ def test_query_equals_sql(spark, sf_dir, name):
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() == 4
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_entry_without_the_operators_of_llm(tmp_path):
+    """A copy of the repository without those folders still has all base queries, whether corpus_pipeline.py is there or not."""
+    root = os.path.dirname(os.path.abspath(__spark_entry__.__file__))
+    for name in ("__spark_entry__.py", "corpus_pipeline.py"):
+        if os.path.exists(f"{root}/{name}"):
+            shutil.copy(f"{root}/{name}", tmp_path)
+    shutil.copytree(f"{root}/textloom", f"{tmp_path}/textloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    code = "import __spark_entry__ as e; print(len(e.queries()), len(e.oracle_sql()))"
+    for _ in range(2):
+        out = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, capture_output=True, text=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+        assert out.returncode == 0 and out.stdout.split() == [str(len(catalog.QUERIES)), str(len(catalog.ORACLES))], out.stderr
+        if os.path.exists(f"{tmp_path}/corpus_pipeline.py"):
+            os.remove(f"{tmp_path}/corpus_pipeline.py")
