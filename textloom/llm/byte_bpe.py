@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from textloom.llm.chunks import WordwiseEncoder
-from textloom.llm.common import map_arrow, text_or_empty
+from textloom.llm.common import kept, map_arrow, text_or_empty
 from textloom.llm.pair_merger import PairMerger
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -43,14 +43,9 @@ class ByteBPE:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_LOADED: dict[str, ByteBPE] = {}
-
-
 def loaded(path: str) -> ByteBPE:
     """One encoder, with its caches, for each worker process."""
-    if path not in _LOADED:
-        _LOADED[path] = ByteBPE(path)
-    return _LOADED[path]
+    return kept(path, lambda: ByteBPE(path))
 
 
 def encode_documents(docs: DataFrame, vocabulary: str) -> DataFrame:
