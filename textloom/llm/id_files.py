@@ -1,11 +1,11 @@
 """Token-id files: blocks of coded ids, each checksummed, with a footer that names blocks and documents.
 
 A file holds the ids of a range of documents in ascending doc_id order:
-  magic; coded blocks one after another; footer; footer length (8 bytes); magic.
-The footer is four arrays, each after its length: per block coded bytes, ids and CRC-32 of the ids
-(unsigned 32-bit each), per document doc_id (signed 64-bit), whether it is null, and ids (unsigned
-64-bit). A file is written under a name of its own and is part of the result only if the task that
-wrote it succeeded.
+  magic; groups, each a prior and then its coded blocks; footer; footer length (8 bytes); magic.
+The footer is five arrays, each after its length: per group the prior's bytes and the number of
+blocks (unsigned 32-bit each), per block coded bytes, ids and CRC-32 of the ids (unsigned 32-bit
+each), per document doc_id (signed 64-bit), whether it is null, and ids (unsigned 64-bit). A file is
+written under a name of its own and is part of the result only if the task that wrote it succeeded.
 """
 
 from __future__ import annotations
@@ -25,9 +25,9 @@ from pyspark.sql import functions as F
 from textloom.llm import id_coder, vocab_ids
 from textloom.llm.common import map_arrow, shared_dir, text_or_empty, written
 
-MAGIC = b"TLID0001"
+MAGIC = b"TLID0002"
 END_ID = 1
-#: Blocks that are coded together.
+#: Blocks that are coded together and share a prior.
 LANES = 8192
 
 FILES = "part int, path string, documents long, ids long"
@@ -36,7 +36,7 @@ DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 class IdFileWriter:
     def __init__(self, out):
-        self.out, self.sizes, self.doc_ids, self.counts = out, [], [], []
+        self.out, self.groups, self.sizes, self.doc_ids, self.counts = out, [], [], [], []
         self.held: list[bytes] = []
         self.held_ids = 0
         out.write(MAGIC)
@@ -56,17 +56,19 @@ class IdFileWriter:
         whole = len(ids) if last else len(ids) // group * group
         for at in range(0, whole, group):
             blocks = [ids[k : k + id_coder.BLOCK] for k in range(at, min(at + group, whole), id_coder.BLOCK)]
-            for block, coded in zip(blocks, id_coder.encode_blocks(blocks), strict=True):
-                self.out.write(coded)
-                self.sizes.append((len(coded), len(block), id_coder.checksum(block)))
+            prior, coded = id_coder.encode_blocks(blocks)
+            self.groups.append((len(prior), len(blocks)))
+            self.out.write(prior)
+            self.out.write(b"".join(coded))
+            self.sizes += [(len(c), len(block), id_coder.checksum(block)) for block, c in zip(blocks, coded, strict=True)]
         self.held = [ids[whole:].tobytes()]
         self.held_ids = len(ids) - whole
 
     def close(self) -> int:
         """Ids in the file."""
         self._flush(last=True)
-        sizes = np.array(self.sizes, "<u4").reshape(len(self.sizes), 3)
-        parts = sizes.tobytes(), np.array([d or 0 for d in self.doc_ids], "<i8").tobytes(), bytes(d is None for d in self.doc_ids), np.array(self.counts, "<u8").tobytes()
+        groups, sizes = (np.array(rows, "<u4").tobytes() for rows in (self.groups, self.sizes))
+        parts = groups, sizes, np.array([d or 0 for d in self.doc_ids], "<i8").tobytes(), bytes(d is None for d in self.doc_ids), np.array(self.counts, "<u8").tobytes()
         footer = b"".join(struct.pack("<Q", len(p)) + p for p in parts)
         self.out.write(footer + struct.pack("<Q", len(footer)) + MAGIC)
         self.out.close()
@@ -86,29 +88,33 @@ def read_id_file(file) -> Iterator[tuple[int | None, np.ndarray]]:
         (n,) = struct.unpack_from("<Q", footer, at)
         parts.append(footer[at + 8 : at + 8 + n])
         at += 8 + n
-    blocks = np.frombuffer(parts[0], "<u4").reshape(-1, 3)
-    doc_ids, nulls, counts = np.frombuffer(parts[1], "<i8"), parts[2], np.frombuffer(parts[3], "<u8")
+    groups, blocks = np.frombuffer(parts[0], "<u4").reshape(-1, 2), np.frombuffer(parts[1], "<u4").reshape(-1, 3)
+    doc_ids, nulls, counts = np.frombuffer(parts[2], "<i8"), parts[3], np.frombuffer(parts[4], "<u8")
     file.seek(len(MAGIC))
 
     def decoded() -> Iterator[np.ndarray]:
-        for k in range(0, len(blocks), LANES):
-            group = blocks[k : k + LANES]
-            coded = [file.read(int(n)) for n in group[:, 0]]
-            for ids, expected in zip(id_coder.decode_blocks(coded, group[:, 1].tolist()), group[:, 2].tolist(), strict=True):
+        k = 0
+        for prior_bytes, n in groups.tolist():
+            group = blocks[k : k + n]
+            k += n
+            prior = file.read(prior_bytes)
+            coded = [file.read(int(c)) for c in group[:, 0]]
+            found = id_coder.decode_blocks(prior, coded, group[:, 1].tolist())
+            for ids, expected in zip(found, group[:, 2].tolist(), strict=True):
                 if id_coder.checksum(ids) != expected:
                     raise ValueError("a block's checksum is wrong")
-                yield ids
+            yield np.concatenate(found)
 
     source, rest = decoded(), np.zeros(0, "<u2")
     for doc_id, null, count in zip(doc_ids.tolist(), nulls, counts.tolist(), strict=True):
-        have = [rest]
-        held = len(rest)
-        while held < count:
-            have.append(next(source))
-            held += len(have[-1])
-        joined = np.concatenate(have)
-        yield None if null else doc_id, joined[:count]
-        rest = joined[count:]
+        if len(rest) < count:
+            have, held = [rest], len(rest)
+            while held < count:
+                have.append(next(source))
+                held += len(have[-1])
+            rest = np.concatenate(have)
+        yield None if null else doc_id, rest[:count]
+        rest = rest[count:]
 
 
 def write_files(docs: DataFrame, vocabulary: str, folder: str, added: bool = False) -> DataFrame:
@@ -147,7 +153,7 @@ def read_files(files: DataFrame) -> DataFrame:
     for row in files.orderBy("part").collect():  # a row for each file
         listed.append((row["path"], start))
         start += row["ids"]
-    paths = spark.createDataFrame(listed, "path string, start long").repartition(max(1, len(listed)), "path")
+    paths = spark.createDataFrame(listed, "path string, start long").repartition(max(1, len(listed)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
