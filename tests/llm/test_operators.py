@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import io
 import re
 from collections import Counter, defaultdict
 from zlib import crc32
@@ -122,27 +123,80 @@ def test_queries_give_added_tokens_their_ids(spark, tmp_path):
 
 def test_packing_holds_every_id_once(docs, empty):
     path = public_tokenizers.path("byte_bpe_50k.json")
-    pieces, sequences, covered = packing.pack(docs, path).collect(), defaultdict(list), defaultdict(int)
-    for p in pieces:
-        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
-        covered[p["doc_id"]] += p["length"]
-    for parts in sequences.values():
-        parts.sort()
-        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:])) and sum(parts[-1]) <= packing.WINDOW
-    totals = {p["doc_id"]: p["doc_tokens"] for p in pieces}
-    assert covered[2] == 1 and covered[8] == totals[8] and covered[0] == 2 * totals[0] and covered[None] == totals[None]
+    once = docs.where("doc_id <> 0 OR doc_id IS NULL")
+    _packed(packing.pack(once, path).collect(), once.collect(), path)
+    pieces = packing.pack(docs, path).collect()
+    assert sum(p["length"] for p in pieces if p["doc_id"] == 0) == 2 * next(p["doc_tokens"] for p in pieces if p["doc_id"] == 0)
     assert packing.pack(empty, path).count() == 0
 
 
 def test_round_robin_keeps_the_mixture():
-    pieces = packing.round_robin({"a": [700] * 100, "b": [90] * 400}, {"a": 0.66, "b": 0.34}, {})
-    done, window = defaultdict(int), 0
+    rng = np.random.default_rng(8)
+    lengths = {"a": [700] * 300, "b": rng.integers(1, 200, 900).tolist(), "c": [50_000], "d": [1] * 40}
+    total = sum(map(sum, lengths.values()))
+    targets = {s: sum(n) / total for s, n in lengths.items()}
+    pieces = packing.round_robin(lengths, targets, {"a": 0.4, "b": -0.4})
+    windows, done = defaultdict(Counter), defaultdict(int)
+    for source, k, start, n, w, offset in pieces:
+        assert offset == windows[w].total() and n > 0
+        windows[w][source] += n
+        done[source, k] += n
+    assert done == {(s, k): n for s in lengths for k, n in enumerate(lengths[s])}
+    assert all(windows[w].total() == packing.WINDOW for w in range(len(windows) - 1))
+    for w in range(len(windows) - 2):
+        assert all(abs(windows[w][s] - targets[s] * packing.WINDOW) <= 2 for s in lengths)
+
+
+def test_what_is_owed_from_before_is_paid():
+    pieces = packing.round_robin({"a": [3000], "b": [3000]}, {"a": 0.5, "b": 0.5}, {"a": 300.0, "b": -300.0})
+    sent = Counter()
     for source, _, _, n, w, _ in pieces:
-        done[source] += n
-        if w != window and w < 40:
-            assert abs(done["a"] / sum(done.values()) - 0.66) < 0.35 / (w**0.5)
-        window = w
-    assert done == {"a": 70_000, "b": 36_000}
+        sent[source] += n if w == 0 else 0
+    assert sent == {"a": 1324, "b": 724}
+
+
+def _packed(rows, docs, path, added=False):
+    """Checks that pieces are the documents' ids by the library, each once, without gaps in sequences; tokens of each source by sequence."""
+    library = Tokenizer.from_file(path)
+    library.encode_special_tokens = not added
+    texts = {d["doc_id"]: np.array([*library.encode(d["text"] or "", add_special_tokens=False).ids, 1], "<u4") for d in docs}
+    sources, sequences, covered, windows = {d["doc_id"]: d["source"] for d in docs}, defaultdict(list), defaultdict(list), defaultdict(Counter)
+    for p in rows:
+        ids = texts[p["doc_id"]]
+        assert p["doc_tokens"] == len(ids) and p["ids_crc32"] == crc32(ids[p["start"] : p["start"] + p["length"]].tobytes())
+        covered[p["doc_id"]].append((p["start"], p["length"]))
+        sequences[p["sequence_id"]].append((p["offset"], p["length"]))
+        windows[p["sequence_id"]][sources[p["doc_id"]]] += p["length"]
+    for parts, whole in [(sequences[s], None) for s in sequences] + [(covered[d], len(texts[d])) for d in texts]:
+        parts.sort()
+        assert parts[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(parts, parts[1:]))
+        assert sum(parts[-1]) == whole if whole else sum(parts[-1]) <= packing.WINDOW
+    return windows
+
+
+def test_packing_keeps_the_mixture_over_partitions(spark):
+    rng = np.random.default_rng(9)
+    words = ["red", "green", "blue", "house", "running", "unbelievable"]
+    docs = [(i, " ".join(rng.choice(words, int(n))), "a" if i % 3 else "b" if i % 2 else "c") for i, n in enumerate(rng.integers(0, 900, 240))]
+    docs.append((240, " ".join(rng.choice(words, 30_000)), "c"))  # longer than a partition
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    frame = spark.createDataFrame(docs, "doc_id long, text string, source string").repartition(5)
+    rows = frame.collect()
+    pieces = packing.pack(frame, path, each=20_000).collect()
+    windows = _packed(pieces, rows, path)
+    total = Counter()
+    for w in windows.values():
+        total += w
+    share = {s: n / total.total() for s, n in total.items()}
+    assert len({p["sequence_id"] >> 32 for p in pieces}) > 5
+    full = [w for w in windows.values() if w.total() == packing.WINDOW]
+    assert len(full) >= 0.85 * len(windows)
+    assert all(abs(w[s] - share[s] * packing.WINDOW) <= 4 for w in full for s in share)
+    # Other targets hold until a source runs out.
+    pieces = packing.pack(frame, path, targets={"a": 3.0, "b": 1.0}, each=20_000).collect()
+    windows = _packed(pieces, rows, path)
+    first = [w for k, w in sorted(windows.items()) if w.total() == packing.WINDOW][:10]
+    assert all(abs(w["a"] - 0.75 * packing.WINDOW) <= 4 and w["c"] == 0 for w in first)
 
 
 def test_join_equals_brute_force(spark, docs, empty):
@@ -230,9 +284,39 @@ def test_archives(spark):
 def test_coder_round_trip_and_checksums():
     rng = np.random.default_rng(1)
     blocks = [rng.integers(0, m, n).astype(np.uint16) for m, n in ((65536, 512), (3, 500), (1, 512), (50, 1), (9, 0))]
-    coded = id_coder.encode_blocks(blocks)
-    assert all((a == b).all() for a, b in zip(blocks, id_coder.decode_blocks(coded, list(map(len, blocks))), strict=True))
+    blocks = [*blocks, rng.integers(0, 2000, id_coder.BLOCK).astype(np.uint16), np.repeat(rng.integers(0, 2000, 64), 16).astype(np.uint16)]
+    prior, coded = id_coder.encode_blocks(blocks)
+    lengths = list(map(len, blocks))
+    assert all((a == b).all() for a, b in zip(blocks, id_coder.decode_blocks(prior, coded, lengths), strict=True))
     assert len(coded[2]) < 100
+    for k in range(len(blocks)):  # any block without the others
+        assert (id_coder.decode_blocks(prior, [coded[k]], [lengths[k]])[0] == blocks[k]).all()
+    assert id_coder.encode_blocks([])[1] == [] and id_coder.decode_blocks(id_coder.encode_blocks([])[0], [], []) == []
+
+
+def test_coder_comes_near_the_entropy():
+    rng = np.random.default_rng(4)
+    ids = np.minimum(rng.zipf(1.3, 200_000), 40_000).astype(np.uint16)
+    share = np.bincount(ids) / len(ids)
+    entropy = -(share[share > 0] * np.log2(share[share > 0])).sum()
+    prior, coded = id_coder.encode_blocks([ids[k : k + id_coder.BLOCK] for k in range(0, len(ids), id_coder.BLOCK)])
+    assert 8 * sum(map(len, coded)) / len(ids) < 1.05 * entropy and len(prior) < 5 * np.count_nonzero(share)
+
+
+def test_damaged_id_files_are_noticed():
+    out = io.BytesIO()
+    out.close = lambda: None
+    writer = id_files.IdFileWriter(out)
+    rng, docs = np.random.default_rng(6), {}
+    for k in (None, 3, 7, 9):
+        docs[k] = rng.integers(0, 500, 3000).astype("<u2")
+        writer.add(k, docs[k].tobytes())
+    assert writer.close() == 12_000
+    data = out.getvalue()
+    assert all(np.array_equal(ids, docs[k]) for k, ids in id_files.read_id_file(io.BytesIO(data)))
+    at = writer.groups[0][0] + len(id_files.MAGIC) + 40
+    with pytest.raises(ValueError, match="checksum"):
+        list(id_files.read_id_file(io.BytesIO(data[:at] + bytes([data[at] ^ 16]) + data[at + 1 :])))
 
 
 def test_id_files(docs, empty):
