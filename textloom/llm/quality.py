@@ -1,10 +1,12 @@
 """Quality classifier: random-indexing word vectors, pooled per document, and a two-layer network.
 
-Tokens are words and runs of signs, each with a second token for its shape (case, digits, signs),
-hashed to a fixed number of buckets. A bucket's vector is the sum of the sparse index vectors of the
-buckets seen beside it in the training texts, plus its own. A document is the mean of its tokens'
-vectors with their spread and its length. The network's logit is divided by a temperature that fits
-its probabilities to a part of the training rows kept apart.
+Tokens are runs of letters, digits or signs, each with a second token for its shape (case, digits,
+signs), hashed to a fixed number of buckets. A bucket's vector is the sum of the sparse index vectors
+of the buckets seen beside it in the training texts, plus its own. A document is the mean of its
+tokens' vectors with their spread, how often words come again at once, and its length. The network's
+logit is divided by a temperature that fits its probabilities to a part of the training rows kept
+apart. Texts are read a batch at a time by array operations on bytes; nothing is kept from batch to
+batch but the network.
 """
 
 from __future__ import annotations
@@ -12,7 +14,6 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
-from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -21,16 +22,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from textloom.llm.common import map_arrow, text_or_empty
+from textloom.llm.runs import PIECE, factor, hashes, mixed
 
 #: Labelled rows that the model is fitted on at most, those of least hash; the bound keeps the driver's work fixed.
 MAX_TRAINING_ROWS = 3000
 BUCKETS, DIMENSIONS, NONZERO, WINDOW = 1 << 15, 32, 4, 2
+_TOP = np.uint64(65 - BUCKETS.bit_length())
 HIDDEN, EPOCHS, SEED = 24, 400, 7
 FEATURES = 4 * DIMENSIONS + 4
 THRESHOLD = 0.3
-KEPT_WORDS = 400_000
+#: Tokens whose vectors are summed together: 1 MB of them.
+TOKENS_TOGETHER = 1 << 12
 
-_TOKENS = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+").findall
+#: Kinds of bytes: 0 white space, then letters (all of other characters' bytes too), digits, signs, underscores.
+_KINDS = np.full(256, 3, np.uint8)
+_KINDS[[*range(9, 14), *range(28, 33)]] = 0
+_KINDS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = 1
+_KINDS[48:58] = 2
+_KINDS[95] = 4
+_UPPER = np.zeros(256, np.int64)
+_UPPER[65:91] = 1
+_GAP = re.compile(rb"\s")
 
 
 def held_out(doc_id: str = "doc_id") -> Column:
@@ -38,70 +50,95 @@ def held_out(doc_id: str = "doc_id") -> Column:
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 5 == 0, F.lit(False))
 
 
-def _shape(token: str) -> str:
-    first = token[0]
-    if first.isdigit():
-        return "9" * min(len(token), 4)
-    if not first.isalpha():
-        return f"sign {first} {min(len(token), 4)}"
-    case = "lower" if token.islower() else "upper" if token.isupper() and len(token) > 1 else "title" if token.istitle() else "mixed"
-    return f"{case} {min(len(token) // 4, 4)}"
-
-
-class Buckets(dict):
-    """White-space separated chunk to its tokens' buckets, packed; bounded."""
-
-    def __missing__(self, chunk: str) -> bytes:
-        out = []
-        for token in _TOKENS(chunk):
-            out += [crc32(token.encode()) % BUCKETS, crc32(b"\0" + _shape(token).encode()) % BUCKETS]
-        packed = np.array(out, "<u2").tobytes()
-        if len(chunk) < 20:
-            if len(self) >= KEPT_WORDS:
-                self.clear()
-            self[chunk] = packed
-        return packed
-
-
-def _buckets_of(cache: Buckets, text: str) -> np.ndarray:
-    return np.frombuffer(b"".join(map(cache.__getitem__, text.split())), "<u2")
-
-
-def _index_vectors() -> np.ndarray:
+def _shapes(piece: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A number for each token's shape: digits by their count, signs by the first and their count, letters by case and length."""
+    size, first = ends - starts, piece[starts].astype(np.int64)
+    kind = _KINDS[first]
+    upper = np.append(0, np.cumsum(_UPPER[piece]))
+    upper = upper[ends] - upper[starts]
+    case = np.where(upper == 0, 0, np.where((upper == size) & (size > 1), 1, np.where((upper == 1) & (_UPPER[first] == 1), 2, 3)))
+    letters = 10 + case * 5 + np.minimum(size // 4, 4)
+    return np.where(kind == 2, np.minimum(size, 4), np.where(kind == 1, letters, 1000 + first * 4 + np.minimum(size, 4)))
+
+
+def tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The buckets of all texts' words, those of their shapes, and where each text begins among them, with the end."""
+    coded = [text.encode("utf-8", "surrogatepass") for text in texts]
+    data = b"\n".join(coded)
+    begins = np.cumsum([0, *(len(c) + 1 for c in coded)])
+    words, shapes, places, at = [], [], [], 0
+    while at < len(data):
+        end = at + PIECE
+        if end < len(data):
+            gap = _GAP.search(data, end)
+            end = gap.start() if gap else len(data)
+        piece = np.frombuffer(data[at:end], np.uint8)
+        kinds = np.zeros(len(piece) + 2, np.uint8)
+        kinds[1:-1] = _KINDS[piece]
+        edges = np.flatnonzero(kinds[1:] != kinds[:-1])
+        starts, ends = edges[:-1], edges[1:]
+        solid = kinds[starts + 1] != 0
+        starts, ends = starts[solid], ends[solid]
+        words.append((hashes(piece, starts, ends) >> _TOP).astype(np.uint16))
+        shapes.append((mixed((_shapes(piece, starts, ends) + 1).astype(np.uint64) * factor(0)) >> _TOP).astype(np.uint16))
+        places.append(starts + at)
+        at = end
+    none = np.zeros(0, np.uint16)
+    places = np.concatenate([np.zeros(0, np.int64), *places])
+    return np.concatenate([none, *words]), np.concatenate([none, *shapes]), np.searchsorted(places, begins)
+
+
+def _index_parts() -> tuple[np.ndarray, np.ndarray]:
+    """The places and signs of the NONZERO entries of each bucket's index vector."""
     rng = np.random.default_rng(SEED)
-    out = np.zeros((BUCKETS, DIMENSIONS), np.float32)
-    for _ in range(NONZERO):
-        out[np.arange(BUCKETS), rng.integers(0, DIMENSIONS, BUCKETS)] += rng.choice(np.float32([-1, 1]), BUCKETS)
-    return out
+    places, signs = np.zeros((NONZERO, BUCKETS), np.int64), np.zeros((NONZERO, BUCKETS))
+    for k in range(NONZERO):
+        places[k], signs[k] = rng.integers(0, DIMENSIONS, BUCKETS), rng.choice([-1.0, 1.0], BUCKETS)
+    return places, signs
 
 
-def word_vectors(texts: list[np.ndarray]) -> np.ndarray:
+def word_vectors(lanes: list[np.ndarray], begins: np.ndarray) -> np.ndarray:
     """Random indexing over the training texts; buckets without any context keep half their own index vector."""
-    index = _index_vectors()
-    context = np.zeros_like(index)
-    for buckets in texts:
-        for lane in (buckets[0::2], buckets[1::2]):
-            for gap in range(1, WINDOW + 1):
-                np.add.at(context, lane[:-gap], index[lane[gap:]])
-                np.add.at(context, lane[gap:], index[lane[:-gap]])
+    places, signs = _index_parts()
+    every = np.arange(BUCKETS)
+    index = sum(np.bincount(every * DIMENSIONS + places[k], signs[k], BUCKETS * DIMENSIONS) for k in range(NONZERO)).reshape(BUCKETS, DIMENSIONS)
+    context = np.zeros(BUCKETS * DIMENSIONS)
+    text = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
+    for lane in lanes:
+        for gap in range(1, WINDOW + 1):
+            same = text[gap:] == text[:-gap]
+            left, right = lane[:-gap][same].astype(np.int64), lane[gap:][same].astype(np.int64)
+            for a, b in ((left, right), (right, left)):
+                for k in range(NONZERO):
+                    context += np.bincount(a * DIMENSIONS + places[k][b], signs[k][b], BUCKETS * DIMENSIONS)
+    context = context.reshape(BUCKETS, DIMENSIONS)
     norm = np.linalg.norm(context, axis=1, keepdims=True)
     return (context / np.maximum(norm, 1e-6) + 0.5 * index / np.sqrt(NONZERO)).astype(np.float32)
 
 
-def pooled(vectors: np.ndarray, buckets: np.ndarray) -> np.ndarray:
-    """Means over words and over shapes, the spread of both, how often a word comes again one to three places on, and the length's logarithm."""
-    out = np.zeros(FEATURES, np.float32)
-    if len(buckets):
-        for k in (0, 1):
-            rows = vectors[buckets[k::2]]
-            mean = rows.mean(0)
-            out[2 * k * DIMENSIONS : (2 * k + 1) * DIMENSIONS] = mean
-            out[(2 * k + 1) * DIMENSIONS : (2 * k + 2) * DIMENSIONS] = np.sqrt(np.maximum(np.einsum("ij,ij->j", rows, rows) / len(rows) - mean * mean, 0))
-        words = buckets[0::2]
-        for gap in (1, 2, 3):
-            if len(words) > gap:
-                out[4 * DIMENSIONS + gap - 1] = (words[gap:] == words[:-gap]).mean()
-    out[-1] = np.log1p(len(buckets) / 2)
+def features(vectors: np.ndarray, texts: list[str]) -> np.ndarray:
+    """Per text: means over words and over shapes, the spread of both, how often a word comes again one to three places on, and the length's logarithm.
+
+    A text's row is the same in any company.
+    """
+    words, shapes, begins = tokens(texts)
+    n = np.diff(begins)
+    out = np.zeros((len(texts), FEATURES))
+    both = np.concatenate([vectors, vectors * vectors], axis=1)
+    for lane, buckets in enumerate((words, shapes)):
+        at = 2 * lane * DIMENSIONS
+        sums = np.zeros((len(texts), 2 * DIMENSIONS))
+        for k, (first, end) in enumerate(zip(begins.tolist(), begins[1:].tolist())):
+            for low in range(first, end, TOKENS_TOGETHER):
+                sums[k] += both.take(buckets[low : min(low + TOKENS_TOGETHER, end)], axis=0).sum(0)
+        mean = sums / np.maximum(n, 1)[:, None]
+        out[:, at : at + DIMENSIONS] = mean[:, :DIMENSIONS]
+        out[:, at + DIMENSIONS : at + 2 * DIMENSIONS] = np.sqrt(np.maximum(mean[:, DIMENSIONS:] - mean[:, :DIMENSIONS] ** 2, 0))
+    text = np.repeat(np.arange(len(texts)), n)
+    for gap in (1, 2, 3):
+        again = text[gap:][(words[gap:] == words[:-gap]) & (text[gap:] == text[:-gap])]
+        out[:, 4 * DIMENSIONS + gap - 1] = np.bincount(again, minlength=len(texts)) / np.maximum(n - gap, 1)
+    out[:, -1] = np.log1p(n)
     return out
 
 
@@ -116,21 +153,20 @@ class Network:
     b2: float
     temperature: float
 
-    def logits(self, features: np.ndarray) -> np.ndarray:
-        hidden = np.tanh((features - self.center) / self.scale @ self.w1 + self.b1)
+    def logits(self, x: np.ndarray) -> np.ndarray:
+        hidden = np.tanh((x - self.center) / self.scale @ self.w1 + self.b1)
         return (hidden @ self.w2 + self.b2) / self.temperature
 
-    def scores(self, features: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-np.clip(self.logits(features.astype(np.float64)), -30, 30)))
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(self.logits(x), -30, 30)))
 
 
 def train(texts: list[str], labels: list[int]) -> Network:
     """The same rows in the same order always give the same network. Without both labels, scores follow the share of label 1 (0.5 without rows)."""
-    cache = Buckets()
-    buckets = [_buckets_of(cache, text) for text in texts]
-    vectors = word_vectors(buckets)
+    words, shapes, begins = tokens(texts)
+    vectors = word_vectors([words, shapes], begins)
     y = np.array(labels, np.float64)
-    x = np.array([pooled(vectors, b) for b in buckets], np.float64).reshape(len(y), FEATURES)
+    x = features(vectors, texts)
     center, scale = (x.mean(0), x.std(0) + 1e-3) if len(y) else (np.zeros(x.shape[1]), np.ones(x.shape[1]))
     rng = np.random.default_rng(SEED)
     net = Network(vectors, center, scale, rng.normal(0, 0.1, (x.shape[1], HIDDEN)), np.zeros(HIDDEN), np.zeros(HIDDEN), 0.0, 1.0)
@@ -161,7 +197,7 @@ def train(texts: list[str], labels: list[int]) -> Network:
         def loss(temperature: float) -> float:
             return float(np.logaddexp(0, np.where(y[apart] == 1, -1, 1) * logits / temperature).mean())
 
-        net.temperature = min(np.geomspace(0.25, 8, 61), key=loss)
+        net.temperature = min(np.geomspace(1 / 32, 32, 121), key=loss)
     return net
 
 
@@ -191,10 +227,9 @@ def score(docs: DataFrame, network: Network) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(network)  # of fixed size: BUCKETS x DIMENSIONS floats
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, cache = sent.value, Buckets()
+        net = sent.value
         for batch in batches:
-            features = [pooled(net.vectors, _buckets_of(cache, text or "")) for text in batch.column(at).to_pylist()]
-            scores = net.scores(np.array(features).reshape(len(features), FEATURES))
+            scores = net.scores(features(net.vectors, [text or "" for text in batch.column(at).to_pylist()]))
             added = [pa.array(scores, pa.float64()), pa.array((scores >= THRESHOLD).astype(np.int32), pa.int32())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *added], [*keep, "score", "predicted"])
 

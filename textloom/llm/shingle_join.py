@@ -20,12 +20,12 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import by_ids, map_arrow, text_or_empty, written
+from textloom.llm.common import by_ids, hot_join, map_arrow, text_or_empty, written
 from textloom.llm.components import components
+from textloom.llm.runs import PIECE, factor, hashes, mixed
 
 WORDS = 5
 #: Links need 100 * intersection >= PERCENT * union.
@@ -37,30 +37,9 @@ CELL_BITS, CHUNK_BITS = 23, 13
 BLOCK, OFTEN = 8_000_000, 2
 #: Parts of the hash range; those that one set has and another lacks bound their intersection from above.
 MAP_BITS = 2048
-#: Bytes of a text that are hashed together.
-PIECE = 1 << 18
-
-_FACTORS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0x85EBCA77C2B2AE63)]
-_BASE = 0x5851F42D4C957F2B
-_CODES = np.array([xxhash.xxh3_64_intdigest(bytes([b])) for b in range(256)], np.uint64)
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
 
 
-def _mixed(h: np.ndarray) -> np.ndarray:
-    h = (h ^ (h >> np.uint64(31))) * _FACTORS[1]
-    return h ^ (h >> np.uint64(29))
-
-
-def _powers(n: int, kept: dict[str, np.ndarray] = {}) -> tuple[np.ndarray, np.ndarray]:  # noqa: B006  kept from call to call
-    """The powers of _BASE and of its inverse modulo 2 ** 64, n of them or more."""
-    if len(kept.get("up", ())) < n:
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 1 << 64))):
-            steps = np.full(max(n, PIECE), base, np.uint64)
-            steps[0] = 1
-            kept[name] = np.cumprod(steps)
-    return kept["up"], kept["down"]
-
-
 def word_hashes(data: bytes) -> np.ndarray:
     """A 64-bit hash of each word: a polynomial of its bytes' codes, mixed. Pieces that end at white space bound the memory."""
     out, at = [np.zeros(0, np.uint64)], 0
@@ -75,10 +54,7 @@ def word_hashes(data: bytes) -> np.ndarray:
         np.logical_and(piece != 32, piece - np.uint8(9) > 4, out=solid[1:-1])
         edges = np.flatnonzero(solid[1:] != solid[:-1])
         starts, ends = edges[::2], edges[1::2]
-        up, down = _powers(n)
-        sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(_CODES.take(piece) * up[:n], out=sums[1:])
-        out.append(_mixed((sums[ends] - sums[starts]) * down[starts]))
+        out.append(hashes(piece, starts, ends))
     return np.concatenate(out)
 
 
@@ -91,7 +67,7 @@ def shingle_set(text: str) -> np.ndarray:
         size = min(WORDS, len(h))
         total = np.full(len(h) - size + 1, size, np.uint64)
         for k in range(size):
-            total = _mixed(total + h[k : len(h) - size + 1 + k] * _FACTORS[k])
+            total = mixed(total + h[k : len(h) - size + 1 + k] * factor(k))
     return np.unique(total)
 
 
@@ -225,8 +201,10 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     sets = scan.where("digest IS NOT NULL").select("doc_id", "n", "digest")
     levels = _levels(scan)
 
-    classes = sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"))
-    rows = written(sets.join(classes, "digest", "left").select("doc_id", "n", F.when(F.col("n") > 0, F.col("rep")).alias("rep")), "classes")
+    classes = written(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
+    total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    with_class = hot_join(sets, classes, "digest", "rows", total)
+    rows = written(with_class.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     # Only texts of a class's representative matter; those of the other rows, the copies, are left out.
     copies = rows.where("rep IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("rep")).alias("stands")).where("NOT stands").select("doc_id")
     known = plain.where("doc_id IS NOT NULL")
