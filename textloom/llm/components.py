@@ -5,25 +5,38 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import written
+from textloom.llm.common import delete, hot_join, shared_dir, written
+
+
+def _least(edges: DataFrame, total: int) -> DataFrame:
+    """edges(u, v) with m, the least v of each u. The edges of a hub stay where they are."""
+    stars = written(edges.groupBy("u").agg(F.min("v").alias("m"), F.count(F.lit(1)).alias("degree")), "stars")
+    return hot_join(edges, stars, "u", "degree", total)
 
 
 def components(edges: DataFrame) -> DataFrame:
     """edges(u, v) to node, component: the least node of its component, for every node but those.
 
     Loops and repeated edges do no harm, nulls aren't allowed. Neighbours are never gathered: a node
-    of any degree costs a partial minimum and a share of a join that Spark can split.
+    of any degree costs a partial minimum and, if it is a hub, a broadcast row.
     """
-    current = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    spark = edges.sparkSession
+    path = shared_dir(spark, "edges")
+    current = written(edges.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges", path)
     before = None
     while True:
         now = current.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.bit_xor(F.xxhash64("u", "v")), F.lit(0)).alias("x")).first()
         if now == before or not now["n"]:
             return current.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        before = now
+        before, total = now, 2 * now["n"]
         both = current.union(current.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        current = written(small.union(least.select("u", F.col("m").alias("v"))).distinct(), "edges")
+        large = _least(both, total).select("v", F.least("u", "m").alias("m"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        middle_path = shared_dir(spark, "edges")
+        large = written(large, "edges", middle_path)
+        starred = _least(large, total)
+        small = starred.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        next_path = shared_dir(spark, "edges")
+        current = written(small.union(starred.select("u", F.col("m").alias("v"))).distinct(), "edges", next_path)
+        for old in (path, middle_path):
+            delete(spark, old)
+        path = next_path
