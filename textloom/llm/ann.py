@@ -42,13 +42,13 @@ SAMPLE_ROWS, SAMPLE_QUERIES = 4096, 64
 PROBE_COST = 2
 #: Vectors of a length that fewer rows have make one bucket.
 FEW_ROWS = 1000
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 1024
 K, EVERY = 10, 100
 
 BUCKET = ["dimensions", "hash_table", "bucket", "part"]
 INDEX = "dimensions int, hash_table int, bucket long, part int, v array<double>, ids array<long>, times array<long>"
-ASKED = "dimensions int, hash_table int, bucket long, v array<double>"
-FOUND = "v array<double>, vec_id long, times long, score double"
+ASKED = "dimensions int, hash_table int, bucket long, query long, v array<double>"
+FOUND = "query long, vec_id long, times long, score double"
 
 
 @dataclass(frozen=True)
@@ -168,7 +168,7 @@ def _search(k: int):
         if len(mine) and len(queries):
             x, ids, times = np.stack(mine["v"].to_numpy()), mine["ids"].tolist(), mine["times"].tolist()
             size = (x * x).sum(1)
-            for v in queries["v"]:
+            for query, v in zip(queries["query"].tolist(), queries["v"], strict=True):
                 # Approximate squares pick what can be among the nearest, and those are measured exactly.
                 near = size - 2 * (x @ v)
                 n = min(k + 1, len(x))
@@ -176,8 +176,8 @@ def _search(k: int):
                 at = np.flatnonzero(near <= edge)
                 d = distances(x[at], v)
                 entries = sorted((score, i, t) for score, row in zip(d.tolist(), at.tolist(), strict=True) for i, t in zip(ids[row], times[row], strict=True))
-                out += [(v, i, t, score) for score, i, t in _first_ids(entries, k)]
-        return pd.DataFrame(out, columns=["v", "vec_id", "times", "score"])
+                out += [(query, i, t, score) for score, i, t in _first_ids(entries, k)]
+        return pd.DataFrame(out, columns=["query", "vec_id", "times", "score"])
 
     return search
 
@@ -212,7 +212,8 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
     grouped = ranked.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("vec_id", "times"))).alias("members"))
     classes = written(grouped.select(F.size("v").alias("dimensions"), "v", F.col("members.vec_id").alias("ids"), F.col("members.times").alias("times")), "vectors")
     queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", "v").distinct()
-    wanted = written(queries.groupBy("v").agg(F.count(F.lit(1)).alias("rows")).withColumn("dimensions", F.size("v")), "queries")
+    wanted = queries.groupBy("v").agg(F.count(F.lit(1)).alias("rows"))
+    wanted = written(wanted.select(F.size("v").alias("dimensions"), F.monotonically_increasing_id().alias("query"), "v", "rows"), "queries")
 
     fitted: dict[int, Hashing] = {}
     for r in classes.groupBy("dimensions").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= FEW_ROWS).collect():
@@ -234,25 +235,25 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         for batch in batches:
             for dimensions, some in _by_length(batch):
                 h = sent.value.get(dimensions)
-                x = _vectors(some.column(1))
+                x = _vectors(some.column(2))
                 for table in range(len(h.directions) if h else 1):
                     keys = h.probed(x, table) if h else np.zeros((len(x), 1), np.int64)
                     at = pa.array(np.repeat(np.arange(len(x)), keys.shape[1]))
-                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), pa.array([table] * len(at), pa.int32()), pa.array(keys.ravel()), some.column(1).take(at)], ["dimensions", "hash_table", "bucket", "v"])
+                    yield pa.RecordBatch.from_arrays([some.column(0).take(at), pa.array([table] * len(at), pa.int32()), pa.array(keys.ravel()), some.column(1).take(at), some.column(2).take(at)], ["dimensions", "hash_table", "bucket", "query", "v"])
 
     index = written(map_arrow(classes.select("dimensions", "v", "ids", "times"), indexed, INDEX), "index")
     key = BUCKET[:3]
     sizes = written(index.groupBy(*key).agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("parts")), "buckets")
     some = F.broadcast(sizes) if sizes.count() <= SENT_IDS else sizes
-    visits = map_arrow(wanted.select("dimensions", "v"), visiting, ASKED).join(some, key)
+    visits = map_arrow(wanted.select("dimensions", "query", "v"), visiting, ASKED).join(some, key)
     visits = visits.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
     large = F.broadcast(sizes.where("parts > 1"))  # one row for BUCKET_ROWS rows of the index
     dealt = index.drop("part").join(large, key, "left").withColumn("part", F.coalesce(F.pmod(F.xxhash64("v"), F.col("parts")), F.lit(0)).cast("int")).drop("parts")
     found = written(dealt.groupBy(*BUCKET).cogroup(visits.groupBy(*BUCKET)).applyInPandas(_search(k), FOUND).distinct(), "found")
 
     # A query's own id doesn't count: with k + 1 ids or all there are, k or all others remain.
-    enough = found.groupBy("v").agg(F.count_distinct("vec_id").alias("found")).where(F.col("found") > k).select("v")
-    lacking = written(wanted.where(F.col("dimensions").isin(*fitted)).join(enough, "v", "left_anti").select("dimensions", "v"), "lacking")
+    enough = found.groupBy("query").agg(F.count_distinct("vec_id").alias("found")).where(F.col("found") > k).select("query")
+    lacking = written(wanted.where(F.col("dimensions").isin(*fitted)).join(enough, "query", "left_anti").select("dimensions", "query", "v"), "lacking")
     if fitted and (n := lacking.count()):
         # These few, in blocks, against the whole index, whose first table holds each vector once.
         whole = index.where("hash_table = 0").withColumn("bucket", F.lit(0).cast("long"))
@@ -260,15 +261,15 @@ def nearest(vectors: DataFrame, k: int = K, every: int = EVERY) -> DataFrame:
         whole = whole.withColumn("part", F.pmod(F.xxhash64("v"), F.lit(blocks)).cast("int"))
         lots = max(1, -(-n // BUCKET_ROWS))
         to_lots = F.explode(F.sequence(F.lit(0), F.lit(lots - 1))).cast("int")
-        asked = lacking.select("dimensions", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(lots)).cast("int").alias("hash_table"), F.lit(0).cast("long").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "v")
+        asked = lacking.select("dimensions", F.pmod(F.xxhash64("v", F.lit(1)), F.lit(lots)).cast("int").alias("hash_table"), F.lit(0).cast("long").alias("bucket"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("part"), "query", "v")
         whole = whole.select("dimensions", to_lots.alias("hash_table"), "bucket", "part", "v", "ids", "times")
         found = found.unionByName(whole.groupBy(*BUCKET).cogroup(asked.groupBy(*BUCKET)).applyInPandas(_search(k), FOUND)).distinct()
 
     # The nearest k + 1 ids of each query vector, each as often as it can count; then of each query, without its own.
-    order = Window.partitionBy("v").orderBy("score", "vec_id")
+    order = Window.partitionBy("query").orderBy("score", "vec_id")
     firsts = found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= (k + 1) * 2)
-    lists = firsts.groupBy("v").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id", "times"))).alias("near"))
-    lists = written(lists.join(wanted.select("v", "rows"), "v"), "lists")
+    lists = firsts.groupBy("query").agg(F.sort_array(F.collect_list(F.struct("score", "vec_id", "times"))).alias("near"))
+    lists = written(lists.join(wanted.select("query", "v", "rows"), "query").drop("query"), "lists")
     total = wanted.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
     each = hot_join(queries, lists, "v", "rows", total).where("near IS NOT NULL").withColumnRenamed("vec_id", "query_id")
     others = F.flatten(F.transform(F.filter("near", lambda e: e["vec_id"] != F.col("query_id")), lambda e: F.array_repeat(e, e["times"].cast("int"))))
