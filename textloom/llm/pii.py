@@ -1,7 +1,8 @@
 """Personal data by anchor expansion.
 
 One pass of an Aho-Corasick automaton finds anchors: at-signs, schemes, plus signs, digits beside
-separators, and words that announce an identifier. Around each anchor a parser reads the largest
+separators, words that announce an identifier or a secret, what secrets begin with, and words that
+end the name of a street. Around each anchor a parser reads the largest
 stretch of characters that its kind can hold, and validates what it finds there. Outside such
 stretches nothing of that kind can stand, so the result is that of reading the whole text.
 """
@@ -21,7 +22,7 @@ from textloom.llm.common import map_arrow, text_or_empty
 
 #: In the order of every list of spans. The base kinds come first, then those that anchors add.
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "login", "iban", "account")
+KINDS = (*BASE_KINDS, "login", "iban", "account", "secret", "address")
 
 # The grammar of the base kinds.
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
@@ -39,6 +40,40 @@ _LOGIN = re.compile(r"[A-Za-z0-9._~%!$&'*+,;=-]+:[^\s@/]+@[A-Za-z0-9-]+(?:\.[A-Z
 
 # What announces an identifier.
 CUES = ("account", "acct", "iban", "passport", "ssn", "social security", "customer id", "member id")
+# What announces a secret.
+SECRET_CUES = ("token", "secret", "password", "passwd", "passphrase", "pwd", "api key", "api_key", "api-key", "apikey", "access key", "access_key", "private key", "private_key", "bearer", "credential")
+# Public formats of keys, by what they begin with.
+KEY_FORMATS = {
+    "AKIA": r"AKIA[A-Z0-9]{16}",
+    "ASIA": r"ASIA[A-Z0-9]{16}",
+    "ghp_": r"ghp_[A-Za-z0-9]{36,}",
+    "gho_": r"gho_[A-Za-z0-9]{36,}",
+    "github_pat_": r"github_pat_[A-Za-z0-9_]{22,}",
+    "xoxb-": r"xoxb-[A-Za-z0-9-]{10,}",
+    "xoxp-": r"xoxp-[A-Za-z0-9-]{10,}",
+    "eyJ": r"eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}",
+    "-----BEGIN": r"-----BEGIN [A-Z ]*PRIVATE KEY-----[A-Za-z0-9+/=\s]{16,}-----END [A-Z ]*PRIVATE KEY-----",
+}
+# What ends the name of a street.
+STREETS = ("Street", "St", "Avenue", "Ave", "Road", "Rd", "Lane", "Ln", "Drive", "Dr", "Boulevard", "Blvd", "Court", "Ct", "Square", "Terrace", "Highway", "Hwy", "Parkway", "Pkwy")
+
+_KEYS = {start: re.compile(form + r"(?![A-Za-z0-9])") for start, form in KEY_FORMATS.items()}
+#: After a cue: perhaps a closing quote, a sign that gives a value, then a value in quotes or one without white space.
+_SECRET = re.compile(r"[\"']?\s{0,3}(?::=|=>|=|:)\s{0,3}(?:([\"'`])([^\s\"'`]{6,512})\1|([^\s\"'`,;<>]{8,512}))")
+_BEARER = re.compile(r"\s{1,3}()()([A-Za-z0-9._~+/=-]{16,2048})")
+#: A house number and one to four capitalised words, read backwards from the word that ends the name.
+_HOUSE = re.compile(r"(?<![\w.,-])[0-9]{1,5}[A-Za-z]?(?: (?:[A-Z][a-z'-]{1,20}|[0-9]{1,3}(?:st|nd|rd|th)|[NSEW]\.?)){1,4} \Z")
+#: A flat, a town, a region and a postal code that may follow.
+_PLACE = re.compile(r"\.?(?:,? (?:Apt|Apartment|Suite|Unit|Flat|#)\.? ?[0-9A-Za-z-]{1,6})?(?:, [A-Z][a-z'-]{1,20}(?: [A-Z][a-z'-]{1,20}){0,2}(?:, [A-Z]{2}| [A-Z]{2})?(?: [0-9]{5}(?:-[0-9]{4})?)?)?")
+_HOUSE_REACH = 100
+
+
+def _secret(value: str, quoted: bool) -> bool:
+    """A value that no one would write as a word: digits among letters, or, in quotes, mixed case or signs."""
+    letters, digits = any(map(str.isalpha, value)), any(map(str.isdigit, value))
+    if digits and (letters or quoted):
+        return True
+    return quoted and len(value) >= 8 and (value[1:].lower() != value[1:] and value.upper() != value or any(not c.isalnum() and c not in ".,'-" for c in value))
 
 
 def luhn(digits: str) -> bool:
@@ -69,6 +104,13 @@ def _automaton() -> ahocorasick.Automaton:
     for cue in CUES:
         for form in {cue, cue.capitalize(), cue.upper(), cue.title()}:
             anchors.add_word(form, ("account", len(form)))
+    for cue in SECRET_CUES:
+        for form in {cue, cue.capitalize(), cue.upper(), cue.title()}:
+            anchors.add_word(form, ("secret", len(form)))
+    for start in KEY_FORMATS:
+        anchors.add_word(start, ("key", len(start)))
+    for street in STREETS:
+        anchors.add_word(f" {street}", ("address", len(street) + 1))
     anchors.make_automaton()
     return anchors
 
@@ -81,7 +123,9 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
 
     Email, ip, card and phone are exactly the leftmost, not overlapping matches of their grammar
     that pass their checks. login is user:password@host after a scheme; iban is a bank account
-    number with right check digits; account is an identifier with a digit after a cue word.
+    number with right check digits; account is an identifier with a digit after a cue word; secret is
+    a value given to a cue word that isn't a plain word, or a key of a public format; address is a
+    house number and a street, with the place that follows. Null and empty texts have no spans.
     """
     if not _ANCHORS:
         _ANCHORS.append(_automaton())
@@ -118,6 +162,25 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         elif kind == "login":
             if m := _LOGIN.match(text, last + 1):
                 found["login"].append(m.span())
+        elif kind == "secret":
+            form = _BEARER if text[at : last + 1].lower() == "bearer" else _SECRET
+            if at >= upto["secret"] and not text[at - 1 : at].isalpha() and ((m := form.match(text, last + 1)) or form is _BEARER and (m := _SECRET.match(text, last + 1))):
+                group = 2 if m[2] else 3
+                if _secret(m[group], group == 2):
+                    start, end = m.span(group)
+                    end -= 0 if group == 2 else len(m[3]) - len(m[3].rstrip(".!?)]}"))
+                    upto["secret"] = end
+                    found["secret"].append((start, end))
+        elif kind == "key":
+            if at >= upto["secret"] and not text[at - 1 : at].isalnum() and (m := _KEYS[text[at : last + 1]].match(text, at)):
+                upto["secret"] = m.end()
+                found["secret"].append(m.span())
+        elif kind == "address":
+            floor = max(upto["address"], at - _HOUSE_REACH)
+            if not text[last + 1 : last + 2].isalnum() and (m := _HOUSE.search(text[floor : at + 1])):
+                end = _PLACE.match(text, last + 1).end()
+                upto["address"] = end
+                found["address"].append((floor + m.start(), end if text[end - 1] != "." else end - 1))
         elif last + 1 >= upto["account"] and not text[at - 1 : at].isalnum() and (m := _IDENTIFIER.match(text, last + 1)):
             value, start = m[1], m.start(1)
             if (n := _IBAN.match(text, start)) and iban_valid(n[0]):
