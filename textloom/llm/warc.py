@@ -22,7 +22,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import map_arrow, shared_dir, written
+from textloom.llm.common import hot_join, map_arrow, shared_dir, written
 
 FRAME_BYTES, BUNDLE_BYTES, LEVEL = 1 << 18, 128 << 20, 3
 #: Payloads below this size are never revisits.
@@ -154,10 +154,12 @@ def write_archives(pages: DataFrame, folder: str) -> DataFrame:
     """
     url = F.col("url") if "url" in pages.columns else F.lit(None).cast("string")
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), url.alias("url"), F.coalesce("html", F.lit("")).alias("html")).withColumn("key", F.sha2("html", 256))
-    # Only payloads that come more than once are joined to anything.
-    first = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL").select("key", "first")
+    # Only payloads that come more than once are joined to anything; rows of a frequent one stay where they are.
+    first = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1 AND first IS NOT NULL")
+    first = written(first, "payloads")
     refers = F.when(~F.col("page_id").eqNullSafe(F.col("first")) & (F.octet_length("html") >= MIN_REVISIT_BYTES), F.col("first"))
-    rows = rows.join(first, "key", "left").select("page_id", "url", "html", refers.alias("refers_to"))
+    total = first.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    rows = hot_join(rows, first, "key", "n", total).select("page_id", "url", "html", refers.alias("refers_to"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(folder)
@@ -212,4 +214,5 @@ def read_archives(index: DataFrame) -> DataFrame:
 
 
 def archive_round_trip(pages: DataFrame) -> DataFrame:
+    """Writes every page to archives and reads all records back; columns and cases as in write_archives and read_archives. An empty table gives an empty result."""
     return read_archives(write_archives(pages, shared_dir(pages.sparkSession, "warc")))
