@@ -23,8 +23,8 @@ from pyspark.sql.window import Window
 from textloom.llm.common import text_or_empty
 
 SAMPLES, GROUP = 64, 8
-#: Documents in one bucket of consecutive ids, and how many buckets there are at most.
-BUCKET_ROWS, MAX_BUCKETS = 200, 8192
+#: Documents in one bucket of consecutive ids; buckets are cut twice, each time in so many parts at most.
+BUCKET_ROWS, CUTS = 200, 1000
 #: What tells the hash functions of a group apart: signed 64-bit.
 SALTS = [int.from_bytes(blake2b(k.to_bytes(4), digest_size=8).digest(), signed=True) for k in range(GROUP)]
 
@@ -76,20 +76,33 @@ def likeness(a: Column, b: Column) -> Column:
     return same / F.lit(float(SAMPLES))
 
 
-def _buckets(docs: DataFrame) -> tuple[Column, list[int]]:
-    """A column that numbers ranges of consecutive doc_id with about BUCKET_ROWS rows, and the ranges' lower ends but the first."""
-    n = docs.count()
-    buckets = min(max(1, -(-n // BUCKET_ROWS)), MAX_BUCKETS)
-    at = [i / buckets for i in range(1, buckets)]
-    cuts = docs.agg(F.percentile_approx("doc_id", at, 20 * buckets).alias("q")).first()["q"] if at else []
-    cuts = sorted(set(cuts or []))
-    steps = [1 << k for k in range(len(cuts).bit_length() - 1, -1, -1)]
-    if not cuts:
-        return F.lit(0), cuts
-    bounds = F.expr(f"array({', '.join(f'{c}L' for c in cuts)})")
-    # Binary search: how many lower ends are at most doc_id.
-    found = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda p, s: F.when((p + s <= len(cuts)) & (F.get(bounds, p + s - 1) <= F.col("doc_id")), p + s).otherwise(p))
-    return F.coalesce(found, F.lit(0)), cuts
+def _place(bounds: Column) -> Column:
+    """How many of the ascending bounds are at most doc_id, by binary search."""
+    steps = F.array(*(F.lit(1 << k) for k in range(CUTS.bit_length() - 1, -1, -1)))
+    return F.coalesce(F.aggregate(steps, F.lit(0), lambda p, s: F.when((p + s <= F.size(bounds)) & (F.get(bounds, p + s - 1) <= F.col("doc_id")), p + s).otherwise(p)), F.lit(0))
+
+
+def _bucketed(docs: DataFrame) -> DataFrame:
+    """docs with b, the number of a range of consecutive doc_id of about BUCKET_ROWS rows, nulls in the first.
+
+    The ranges' ends are quantiles of quantiles, CUTS of CUTS at most: a table of fixed size. Beyond
+    CUTS * CUTS * BUCKET_ROWS rows the ranges hold more rows each.
+    """
+    ranges = -(-docs.count() // BUCKET_ROWS)
+    if ranges <= 1:
+        return docs.withColumn("b", F.lit(0).cast("long"))
+    coarse = min(CUTS, max(1, -(-ranges // CUTS)))
+    fine = min(CUTS, -(-ranges // coarse))
+
+    def ends(n: int) -> Column:
+        """The distinct quantiles that cut the rows in n parts."""
+        at = [i / n for i in range(1, n)]
+        return F.array_sort(F.array_distinct(F.percentile_approx("doc_id", F.array(*map(F.lit, at)), 20 * n))) if at else F.array().cast("array<bigint>")
+
+    first = docs.agg(ends(coarse).alias("bounds"))
+    docs = docs.crossJoin(F.broadcast(first)).withColumn("c", _place(F.col("bounds"))).drop("bounds")
+    second = docs.groupBy("c").agg(ends(fine).alias("bounds"))  # at most CUTS rows of at most CUTS numbers
+    return docs.join(F.broadcast(second), "c").withColumn("b", F.col("c").cast("long") * CUTS + _place(F.coalesce("bounds", F.array().cast("array<bigint>")))).drop("c", "bounds")
 
 
 def fingerprint_edits(docs: DataFrame) -> DataFrame:
@@ -98,25 +111,20 @@ def fingerprint_edits(docs: DataFrame) -> DataFrame:
     Returns doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next.
     Documents follow one another by doc_id, nulls first, then by text; the first follows the last, so
     a single document is its own next. Null texts count as empty; an empty text is its own edited
-    text. Other columns are not read. An empty table gives an empty result.
+    text. Rows of one doc_id are ordered in one task. Other columns are not read. An empty table
+    gives an empty result.
     """
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    bucket, _ = _buckets(plain)
-    dealt = plain.withColumn("b", bucket)
+    dealt = _bucketed(plain)
     # The first rows of a bucket also go to the end of the bucket before it, those of the first to the last.
-    # At most MAX_BUCKETS rows come to the driver.
-    first = {r["b"]: r["least"] for r in dealt.groupBy("b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least")).collect()}
-    order = sorted(first)
-    if not order:
-        order, first = [0], {0: {"doc_id": None}}
-    leads, before = {b: first[b]["doc_id"] for b in order}, dict(zip(order, [order[-1], *order[:-1]], strict=True))
-    size = order[-1] + 1
-    lead_at = F.expr(f"array({', '.join('CAST(NULL AS BIGINT)' if leads.get(b) is None else f'{leads[b]}L' for b in range(size))})")
-    before_at = F.expr(f"array({', '.join(str(before.get(b, 0)) for b in range(size))})")
-    is_lead = F.col("doc_id").eqNullSafe(F.get(lead_at, F.col("b")))
+    starts = dealt.groupBy("b").agg(F.min(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id")).alias("least"))
+    by_number = Window.orderBy("b")  # at most CUTS * CUTS rows of numbers
+    last = F.max("b").over(by_number.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    leads = starts.select("b", F.col("least.doc_id").alias("lead_id"), F.coalesce(F.lag("b").over(by_number), last).alias("before"))
     own = F.struct(F.col("b").alias("b"), F.lit(0).alias("late"))
-    extra = F.struct(F.get(before_at, F.col("b")).alias("b"), F.lit(1).alias("late"))
-    placed = dealt.select("doc_id", "text", F.explode(F.when(is_lead, F.array(own, extra)).otherwise(F.array(own))).alias("to")).select("to.b", "to.late", "doc_id", "text")
+    extra = F.struct(F.col("before").alias("b"), F.lit(1).alias("late"))
+    is_lead = F.col("doc_id").eqNullSafe(F.col("lead_id"))
+    placed = dealt.join(F.broadcast(leads), "b").select("doc_id", "text", F.explode(F.when(is_lead, F.array(own, extra)).otherwise(F.array(own))).alias("to")).select("to.b", "to.late", "doc_id", "text")
     in_order = Window.partitionBy("b").orderBy("late", "doc_id", "text")
     n = F.length("text")
     half = F.floor(n / 2).cast("int")
