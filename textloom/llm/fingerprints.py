@@ -22,7 +22,8 @@ from pyspark.sql.window import Window
 
 from textloom.llm.common import text_or_empty
 
-SAMPLES, GROUP = 64, 8
+#: Samples, and how many of them are drawn in one row: with more, the generated code is too long for the JVM to compile.
+SAMPLES, GROUP = 64, 2
 #: Documents in one bucket of consecutive ids; buckets are cut twice, each time in so many parts at most.
 BUCKET_ROWS, CUTS = 200, 1000
 #: What tells the hash functions of a group apart: signed 64-bit.
@@ -37,19 +38,35 @@ def _uniform(h: Column, low: int) -> Column:
     return (_bits(h, low, 20) + F.lit(0.5)) / F.lit(float(1 << 20))
 
 
-def _sample(term: Column, log_weight: Column, k: int) -> Column:
-    """1 - exp(-a), scaled to 31 bits, above the 32 bits that name (term, t); its least is the sample."""
-    h = F.xxhash64(term.bitwiseXOR(F.lit(SALTS[k])))
-    once = F.shiftrightunsigned(h, 1)
-    again = F.xxhash64(h)
-    e1 = -F.log1p(-(F.shiftrightunsigned(h, 33) + F.lit(0.5)) / F.lit(float(1 << 31)))
-    e2, e3 = -F.ln(_uniform(again, 0)), -F.ln(_uniform(again, 20))
-    z = F.ln((e1 + e2) / e1)
-    r = z + e3
-    t = F.floor((log_weight - z) / r) + 1
-    scaled = (-F.expm1(-e1 * F.exp(-r * t)) * float(1 << 31)).cast("long")
-    name = once.bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit((1 << 32) - 1))
-    return F.when((log_weight == 0) | (log_weight < z), once).otherwise(F.shiftleft(scaled, 32).bitwiseOR(name))
+def _samples(terms: DataFrame, keep: list[str]) -> DataFrame:
+    """keep and s0, s1, …: 1 - exp(-a), scaled to 31 bits, above the 32 bits that name (term, t); the least is the sample.
+
+    Reads term and w. Steps that need logarithms are columns of their own, so that each is made once
+    and only for words that need it: with z = ln(1 + x), t is 0 where x > w - 1, and exp(-r) is
+    u / (1 + x) with u = exp(-e3).
+    """
+    k = range(GROUP)
+    least = lambda name, i: F.col(f"{name}{i}")
+    below = lambda i: (F.shiftrightunsigned(least("h", i), 33) + F.lit(0.5)) / F.lit(float(1 << 31))  # noqa: E731  1 - exp(-a1)
+    # ln(u2) / ln(1 - below) is e2 / e1. Where w is 2 and u2 below 1 - below, x is above 1.
+    ratio = lambda i: F.ln(_uniform(least("m", i), 0)) / F.log1p(-below(i))
+    rows = terms.select(*keep, "w", *(F.xxhash64(F.col("term").bitwiseXOR(F.lit(SALTS[i]))).alias(f"h{i}") for i in k))
+    rows = rows.select("*", *(F.when(F.col("w") > 1, F.xxhash64(least("h", i))).alias(f"m{i}") for i in k))
+    rows = rows.select("*", *(F.when((F.col("w") > 2) | (F.col("w") == 2) & (_uniform(least("m", i), 0) >= 1 - below(i)), ratio(i)).alias(f"x{i}") for i in k))
+    rows = rows.select("*", *(F.when(least("x", i) <= F.col("w") - 1, _uniform(least("m", i), 20) / (1 + least("x", i))).alias(f"g{i}") for i in k))
+    # t is the number of times that 1 + x times powers of 1 / g stays at w or less.
+    room = lambda i: F.col("w") / (1 + least("x", i))
+    turns = lambda i: F.when(room(i) * least("g", i) < 1, 1).when(room(i) * least("g", i) * least("g", i) < 1, 2).otherwise(F.floor(-F.ln(room(i)) / F.ln(least("g", i))) + 1)
+    rows = rows.select("*", *(F.when(least("g", i).isNotNull(), turns(i).cast("long")).alias(f"t{i}") for i in k))
+
+    def sample(i: int) -> Column:
+        h, g, t = least("h", i), least("g", i), least("t", i)
+        shrunk = F.when(t == 1, g).when(t == 2, g * g).otherwise(F.exp(F.ln(g) * t))
+        scaled = (-F.expm1(shrunk * F.log1p(-below(i))) * float(1 << 31)).cast("long")
+        name = F.shiftrightunsigned(h, 1).bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit((1 << 32) - 1))
+        return F.when(t.isNull(), F.shiftrightunsigned(h, 1)).otherwise(F.shiftleft(scaled, 32).bitwiseOR(name))
+
+    return rows.select(*keep, *(sample(i).alias(f"s{i}") for i in k))
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -60,10 +77,9 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     """
     words = texts.select(*keys, F.explode(F.split(F.col(text), r"\s+")).alias("word"))
     terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("w"))
-    # GROUP samples to a row: one row for all would need more code than the JVM compiles.
     groups = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.xxhash64("term", F.lit(g)).alias("term")) for g in range(SAMPLES // GROUP)))).alias("s")
-    terms = terms.select(*keys, F.ln(F.col("w").cast("double")).alias("lw"), groups).select(*keys, "lw", "s.g", "s.term")
-    least = terms.groupBy(*keys, "g").agg(*(F.min(_sample(F.col("term"), F.col("lw"), k)).alias(f"s{k}") for k in range(GROUP)))
+    drawn = _samples(terms.select(*keys, "w", groups).select(*keys, "w", "s.g", "s.term"), [*keys, "g"])
+    least = drawn.groupBy(*keys, "g").agg(*(F.min(f"s{k}").alias(f"s{k}") for k in range(GROUP)))
     digits = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 32) - 1)))), 8, "0") for k in range(GROUP)]
     parts = least.select(*keys, "g", F.concat(*digits).alias("part"))
     whole = [F.max(F.when(F.col("g") == g, F.col("part"))).alias(f"p{g}") for g in range(SAMPLES // GROUP)]
