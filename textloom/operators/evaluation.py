@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import random
+from collections.abc import Sequence
+from functools import reduce
+from itertools import islice
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -11,34 +14,181 @@ from pyspark.sql.window import Window
 from textloom.functions import text as T
 
 
+def _kept_count(wanted: str, held: str) -> Column:
+    """Size of the intersection of two arrays as multisets."""
+    times = lambda column, x: F.size(F.filter(column, lambda y: y == x))
+    return F.aggregate(F.array_distinct(wanted), F.lit(0), lambda acc, x: acc + F.least(times(wanted, x), times(held, x)))
+
+
 def number_fidelity(rows: DataFrame, keys: list[str], source: str, hypothesis: str) -> DataFrame:
-    """keys, total, preserved: numbers of source, and how many of them, as a multiset, hypothesis has."""
-    both = None
-    for name, a, b in ((source, 1, 0), (hypothesis, 0, 1)):
-        one = rows.select(*keys, F.explode(T.numbers(F.col(name))).alias("n")).select(*keys, F.array_join(T.digit_groups(F.col("n")), " ").alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b"))
-        both = one if both is None else both.union(one)
-    counts = both.groupBy(*keys, "n").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-    return counts.groupBy(*keys).agg(F.sum("a").cast("long").alias("total"), F.sum(F.least("a", "b")).cast("long").alias("preserved"))
+    """keys, total, preserved: numbers of source, and how many of them, as a multiset of digit groups, hypothesis has. One row for each row."""
+    groups = lambda name: F.transform(T.numbers(F.coalesce(F.col(name), F.lit(""))), lambda n: F.array_join(T.digit_groups(n), " "))
+    both = rows.select(*keys, groups(source).alias("__a"), groups(hypothesis).alias("__b"))
+    return both.select(*keys, F.size("__a").cast("long").alias("total"), _kept_count("__a", "__b").cast("long").alias("preserved"))
+
+
+def citation_fidelity(rows: DataFrame, keys: list[str], source: str, hypothesis: str) -> DataFrame:
+    """keys, total, preserved: citations of source, and how many of them have all their digit groups in hypothesis, in order."""
+    found = rows.select(*keys, T.citations(F.coalesce(F.col(source), F.lit(""))).alias("__c"), T.ascii_digits(F.coalesce(F.col(hypothesis), F.lit(""))).alias("__h"))
+    kept = F.filter("__c", lambda c: F.rlike(F.col("__h"), F.concat(F.lit("(?s)"), F.array_join(T.digit_groups(c), ".*"))))
+    return found.select(*keys, F.size("__c").cast("long").alias("total"), F.size(kept).cast("long").alias("preserved"))
+
+
+Term = tuple[str, tuple[str, ...], str]
+
+
+def term_hits(rows: DataFrame, keys: list[str], glossary: Sequence[Term], source: str = "src", reference: str = "ref", hypothesis: str = "hyp") -> DataFrame:
+    """keys, term, category, ref_variant, hit_any, hit_ref: a row for each term that applies to a row.
+
+    glossary: (English pattern, variants, category). A term applies if its pattern is in source as a
+    word and a variant in reference, both normalised; ref_variant is the first of these. hit_any:
+    hypothesis has any variant; hit_ref: it has ref_variant. One pass, without a join.
+    """
+    norm = rows.select(*keys, F.col(source).alias("__s"), T.normalize_hi(F.col(reference)).alias("__r"), T.normalize_hi(F.col(hypothesis)).alias("__h"))
+    entries = []
+    for pattern, variants, category in glossary:
+        forms = [T.normalized_hi(v) for v in variants]
+        in_ref = [F.contains("__r", F.lit(form)) for form in forms]
+        in_hyp = [F.contains("__h", F.lit(form)) for form in forms]
+        variant = F.coalesce(*(F.when(r, F.lit(v)) for r, v in zip(in_ref, variants, strict=True)))
+        hit_ref = F.coalesce(*(F.when(r, h) for r, h in zip(in_ref, in_hyp, strict=True)))
+        entry = F.struct(F.lit(pattern).alias("term"), F.lit(category).alias("category"), variant.alias("ref_variant"), reduce(Column.__or__, in_hyp).alias("hit_any"), hit_ref.alias("hit_ref"))
+        entries.append(F.when(F.col("__s").rlike(rf"(?i)\b(?:{pattern})\b") & reduce(Column.__or__, in_ref), entry))
+    return norm.select(*keys, F.explode(F.array_compact(F.array(*entries))).alias("t")).select(*keys, "t.*")
 
 
-def glossary_hits(segments: DataFrame, glossary: DataFrame, text: str) -> DataFrame:
-    """Segments with every glossary term (a regular expression) that they hold; the glossary is a configured list and is broadcast."""
-    return segments.join(F.broadcast(glossary), F.expr(f"{text} rlike concat('(?i)\\\\b(?:', en, ')\\\\b')"))
+def glossary_hits(rows: DataFrame, keys: list[str], glossary: Sequence[tuple[str, str]], text: str) -> DataFrame:
+    """keys, term, category: a row for each pattern of the glossary that text holds as a word."""
+    held = [F.when(F.col(text).rlike(rf"(?i)\b(?:{p})\b"), F.struct(F.lit(p).alias("term"), F.lit(c).alias("category"))) for p, c in glossary]
+    return rows.select(*keys, F.explode(F.array_compact(F.array(*held))).alias("t")).select(*keys, "t.*")
 
 
 def repetition_flags(rows: DataFrame, keys: list[str], text: str) -> DataFrame:
-    """keys, repeated: four equal words in a row, a run of four words three times, or ten equal characters in a row.
+    """keys, repeated: four equal words in a row, a run of four words three times, or ten equal characters in a row. One row for each row.
 
     Each array is a column of its own before a lambda reads it, so none is built again for each element.
     """
-    grams = rows.select(*keys, F.coalesce(T.repeated_char(F.col(text)), F.lit(False)).alias("run"), T.words(F.col(text)).alias("w"))
-    starts = F.when(F.size("w") >= 4, F.sequence(F.lit(1), F.size("w") - 3)).otherwise(F.array().cast("array<int>"))
-    grams = grams.select(*keys, "run", "w", F.transform(starts, lambda i: F.array_join(F.slice("w", i, 4), " ")).alias("g"))
-    ordered = F.sort_array(F.coalesce("g", F.array().cast("array<string>")))
-    long = grams.select(*keys, "run", F.explode_outer(F.arrays_zip(ordered.alias("g"), F.slice(ordered, F.lit(3), F.greatest(F.size(ordered), F.lit(0))).alias("two_on"))).alias("x"))
-    same_words = F.regexp_extract("x.g", r"^(\S+)(?: \1){3}$", 1) != ""
-    found = F.bool_or(F.col("run") | F.coalesce((F.col("x.g") == F.col("x.two_on")) | same_words, F.lit(False)))
-    return long.groupBy(*keys).agg(found.alias("repeated"))
+    words = rows.select(*keys, F.coalesce(T.repeated_char(F.col(text)), F.lit(False)).alias("__run"), F.coalesce(T.words(F.col(text)), F.array().cast("array<string>")).alias("__w"))
+    starts = F.when(F.size("__w") >= 4, F.sequence(F.lit(1), F.size("__w") - 3)).otherwise(F.array().cast("array<int>"))
+    grams = words.select(*keys, "__run", F.transform(starts, lambda i: F.array_join(F.slice("__w", i, 4), " ")).alias("__g"))
+    grams = grams.select(*keys, "__run", F.sort_array("__g").alias("__g"))
+    same = F.exists("__g", lambda g: g.rlike(r"^(\S+)(?: \1){3}$"))
+    thrice = F.exists(F.transform("__g", lambda g, i: g == F.get("__g", i + 2)), lambda x: F.coalesce(x, F.lit(False)))
+    return grams.select(*keys, (F.col("__run") | same | thrice).alias("repeated"))
+
+
+def fidelity(predictions: DataFrame, keys: list[str], glossary: Sequence[Term]) -> DataFrame:
+    """system, with a null category for all and a row for each category: what each system kept of numbers, citations and terms.
+
+    predictions(system, keys, src, ref, hyp). Columns: n_segments, numbers_total, numbers_preserved,
+    number_rate, the same of citations, repetition, omission, addition (segments), mean_length_ratio;
+    terms, hit_any_rate, hit_ref_rate. Rates are null where there is nothing to keep. Rows of a
+    category have the term columns alone.
+    """
+    ids = ["system", *keys]
+    flags = predictions.select(*ids, T.length_ratio(F.col("hyp"), F.col("ref")).alias("ratio"))
+    parts = (
+        number_fidelity(predictions, ids, "src", "hyp").groupBy("system").agg(F.count(F.lit(1)).alias("n_segments"), F.sum("total").alias("numbers_total"), F.sum("preserved").alias("numbers_preserved")),
+        citation_fidelity(predictions, ids, "src", "hyp").groupBy("system").agg(F.sum("total").alias("citations_total"), F.sum("preserved").alias("citations_preserved")),
+        repetition_flags(predictions, ids, "hyp").groupBy("system").agg(F.count_if("repeated").alias("repetition")),
+        flags.groupBy("system").agg(F.count_if(T.omission(F.col("ratio"))).alias("omission"), F.count_if(T.addition(F.col("ratio"))).alias("addition"), F.avg("ratio").alias("mean_length_ratio")),
+    )
+    whole = reduce(lambda a, b: a.join(b, "system"), parts)
+    rate = lambda name: F.try_divide(f"{name}_preserved", f"{name}_total").alias(f"{name[:-1]}_rate")
+    whole = whole.select("*", rate("numbers"), rate("citations"))
+    hits = term_hits(predictions, ids, glossary).rollup("system", "category")
+    share = lambda name: F.try_divide(F.count_if(name), F.count(F.lit(1)))
+    terms = hits.agg(F.count(F.lit(1)).alias("terms"), share("hit_any").alias("hit_any_rate"), share("hit_ref").alias("hit_ref_rate")).where("system IS NOT NULL")
+    # Every system has its row for all terms, also one without any.
+    of_all = whole.select("system", F.lit(None).cast("string").alias("category"), *[c for c in whole.columns if c != "system"])
+    both = terms.alias("t").join(of_all.alias("w"), F.col("t.system").eqNullSafe(F.col("w.system")) & F.col("t.category").eqNullSafe(F.col("w.category")), "full")
+    return both.select(F.coalesce("t.system", "w.system").alias("system"), F.col("t.category").alias("category"), F.coalesce("terms", F.lit(0)).alias("terms"), "hit_any_rate", "hit_ref_rate", *[c for c in whole.columns if c != "system"])
+
+
+def compared(scored: DataFrame, keys: list[str], comparisons: Sequence[tuple[str, str]]) -> DataFrame:
+    """a, b, keys, src, ref, hyp (of b), delta, outcome, bucket for each comparison whose systems are both there. scored(system, keys, src, ref, hyp, score)."""
+    pairs = F.broadcast(scored.sparkSession.createDataFrame(list(comparisons), "a string, b string"))
+    first = scored.select(F.col("system").alias("a"), *keys, F.col("score").alias("score_a")).join(pairs, "a")
+    second = scored.select(F.col("system").alias("b"), *keys, "src", "ref", "hyp", F.col("score").alias("score_b"))
+    rows = first.join(second, ["b", *keys]).withColumn("delta", F.col("score_b") - F.col("score_a"))
+    return rows.select("a", "b", *keys, "src", "ref", "hyp", "delta", outcome(F.col("delta")).alias("outcome"), T.length_bucket(T.count_words(F.col("src"))).alias("bucket"))
+
+
+def outcome_counts(rows: DataFrame, keys: list[str], glossary: Sequence[Term]) -> DataFrame:
+    """a, b, kind (overall, bucket or category), name, win, tie, loss of compared rows. All buckets are there; a row counts once for each of its terms."""
+    sides = rows.select("a", "b").distinct()
+    buckets = sides.select("a", "b", F.explode(F.array(*map(F.lit, BUCKETS))).alias("bucket"), F.lit(None).cast("string").alias("outcome"))
+    by_term = term_hits(rows, ["a", "b", *keys, "outcome"], glossary)
+    named = (
+        rows.select("a", "b", F.lit("overall").alias("kind"), F.lit("").alias("name"), "outcome"),
+        rows.select("a", "b", "bucket", "outcome").union(buckets).select("a", "b", F.lit("bucket").alias("kind"), F.col("bucket").alias("name"), "outcome"),
+        by_term.select("a", "b", F.lit("category").alias("kind"), F.col("category").alias("name"), "outcome"),
+    )
+    counts = reduce(DataFrame.union, named).groupBy("a", "b", "kind", "name")
+    return counts.agg(*(F.count_if(F.col("outcome") == o).alias(o) for o in ("win", "tie", "loss")))
+
+
+def top_changes(rows: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
+    """a, b, side (gain or loss), place, keys, delta: the k largest and the k smallest deltas of each comparison, ties by keys."""
+    out = []
+    for side, order in (("gain", F.desc("delta")), ("loss", F.asc("delta"))):
+        place = F.row_number().over(Window.partitionBy("a", "b").orderBy(order, *keys))
+        out.append(rows.withColumn("place", place).where(F.col("place") <= k).select("a", "b", F.lit(side).alias("side"), "place", *keys, "delta"))
+    return out[0].union(out[1])
+
+
+# The qualitative categories, in their order.
+CATEGORIES = ("legal-term", "archaic/formulaic", "long-sentence", "citation/section/date", "named-entity", "omission/hallucination")
+
+
+def tagged(predictions: DataFrame, keys: list[str], glossary: Sequence[Term]) -> DataFrame:
+    """keys, src, ref, tags: the categories of each segment, in their order. The last is that of a segment that any system repeats, shortens or lengthens."""
+    ratio = T.length_ratio(F.col("hyp"), F.col("ref"))
+    bad = repetition_flags(predictions.withColumn("__off", T.omission(ratio) | T.addition(ratio)), [*keys, "src", "ref", "__off"], "hyp")
+    rows = bad.groupBy(*keys, "src", "ref").agg(F.bool_or(F.col("repeated") | F.col("__off")).alias("__bad")).withColumn("__w", T.words(F.col("src")))
+    src = F.col("src")
+    legal = [src.rlike(rf"(?i)\b(?:{p})\b") for p, _, category in glossary if category == "legal-term"]
+    held = (reduce(Column.__or__, legal, F.lit(False)), src.rlike(T.ARCHAIC), F.size("__w") > T.LONG_WORDS, T.cites(src), T.names_someone(src, "__w"), F.col("__bad"))
+    tags = F.array_compact(F.array(*(F.when(h, F.lit(name)) for h, name in zip(held, CATEGORIES, strict=True))))
+    return rows.select(*keys, "src", "ref", tags.alias("tags"))
+
+
+def candidates(scored: DataFrame, keys: list[str], baseline: str, adapted: str, glossary: Sequence[Term]) -> DataFrame:
+    """Every segment with tags, both systems' texts and scores, delta and the other systems' texts as a map; the largest changes first. Both systems must be there."""
+    texts = scored.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("system", F.struct("hyp", "score"))))).alias("by"))
+    have = {r["system"] for r in scored.select("system").distinct().collect()}
+    if missing := {baseline, adapted} - have:
+        raise ValueError(f"missing systems: {sorted(missing)}")
+    rows = tagged(scored, keys, glossary).join(texts, keys)
+    of = lambda system, what: F.col("by")[system][what]
+    others = F.transform_values(F.map_filter("by", lambda s, _: ~s.isin(baseline, adapted)), lambda _, v: v["hyp"])
+    rows = rows.select(
+        *keys, "tags", "src", "ref", of(baseline, "hyp").alias("baseline"), of(adapted, "hyp").alias("adapted"), of(baseline, "score").alias("score_baseline"), of(adapted, "score").alias("score_adapted"),
+        (of(adapted, "score") - of(baseline, "score")).alias("delta"), others.alias("others"),
+    )
+    return rows.orderBy(F.desc(F.abs("delta")), *keys)
+
+
+def coverage(examples: DataFrame, least: int = 12) -> DataFrame:
+    """category, examples (their numbers) of curated examples(number, categories); fewer than least, or a category without any, are an error."""
+    if (n := examples.count()) < least:
+        raise ValueError(f"need at least {least} curated examples, got {n}")
+    named = examples.select("number", F.explode("categories").alias("category")).where(F.col("category").isin(*CATEGORIES))
+    lists = named.groupBy("category").agg(F.array_sort(F.collect_set("number")).alias("examples"))
+    if missing := set(CATEGORIES) - {r["category"] for r in lists.select("category").collect()}:
+        raise ValueError(f"no curated example for: {sorted(missing)}")
+    return lists
+
+
+def adapted_system(baseline: str, comparisons: Sequence[tuple[str, str]]) -> str:
+    """The second system of the first comparison with the baseline."""
+    for a, b in comparisons:
+        if a == baseline:
+            return b
+    raise ValueError(f"no comparison with {baseline}")
+
+
+BUCKETS = ("<=20", "21-40", ">40")
 
 
 def outcome(delta: Column, band: float = 2.0) -> Column:
@@ -64,13 +214,45 @@ def wilson(k: Column, n: Column, z: float = 1.96) -> tuple[Column, Column]:
     return tuple(F.when(n > 0, F.least(F.greatest(x, F.lit(0.0)), F.lit(1.0))).otherwise(0.0) for x in (low, high))
 
 
-def make_split(ids: list[str], seed: int, ratios: tuple[float, float, float]) -> dict[str, list[str]]:
+def make_split(ids: Sequence[str], seed: int, ratios: dict[str, float]) -> dict[str, list[str]]:
     """A seeded shuffle of a short list of ids, cut to train, dev and test, each in numeric order."""
-    order = sorted(ids, key=int)
+    order = list(ids)
     random.Random(seed).shuffle(order)
-    dev, test = round(len(order) * ratios[1]), round(len(order) * ratios[2])
-    cut = {"dev": order[:dev], "test": order[dev : dev + test], "train": order[dev + test :]}
-    return {k: sorted(v, key=int) for k, v in cut.items()}
+    sizes = {name: round(len(order) * ratios.get(name, 0.0)) for name in ("dev", "test")}
+    sizes = {"train": len(order) - sum(sizes.values()), **sizes}
+    rest = iter(order)
+    return {name: sorted(islice(rest, n), key=int) for name, n in sizes.items()}
+
+
+def round_robin_split(ids: Sequence[str]) -> dict[str, list[str]]:
+    """A short list of ids dealt in turn to train, dev and test."""
+    return {name: list(ids[k::3]) for k, name in enumerate(("train", "dev", "test"))}
+
+
+def assert_disjoint(splits: DataFrame) -> None:
+    """An error if splits(doc_id, split) has an id more than once."""
+    if twice := overlapping(splits).limit(5).collect():
+        raise ValueError(f"ids in more than one place: {sorted(r['doc_id'] for r in twice)}")
+
+
+def restricted(docs: DataFrame, ids: Sequence) -> DataFrame:
+    """docs with one of the given ids, a configured list; an unknown id is an error."""
+    wanted = docs.sparkSession.createDataFrame([(i,) for i in ids], docs.select("doc_id").schema)
+    if unknown := wanted.join(docs.select("doc_id"), "doc_id", "left_anti").collect():
+        raise ValueError(f"unknown ids: {sorted(r['doc_id'] for r in unknown)}")
+    return docs.join(F.broadcast(wanted), "doc_id", "left_semi")
+
+
+def supplementary(judged: DataFrame, sample: DataFrame, kept: DataFrame, key: str = "pair_id") -> DataFrame:
+    """Judged rows that aren't in the sample but were kept."""
+    return judged.join(sample.select(key), key, "left_anti").join(kept.select(key), key, "left_semi")
+
+
+def audit(items: DataFrame, verdict: Column) -> DataFrame:
+    """n_items, judged, correct, lenient, precision, lenient_precision, low, high: verdicts are correct, partial, others, or null where not judged."""
+    counts = items.agg(F.count(F.lit(1)).alias("n_items"), F.count(verdict).alias("judged"), F.count_if(verdict == "correct").alias("correct"), F.count_if(verdict.isin("correct", "partial")).alias("lenient"))
+    low, high = wilson(F.col("correct"), F.col("judged"))
+    return counts.select("*", F.try_divide("correct", "judged").alias("precision"), F.try_divide("lenient", "judged").alias("lenient_precision"), low.alias("low"), high.alias("high"))
 
 
 def hash_split(docs: DataFrame, seed: int, dev: float, test: float) -> DataFrame:
@@ -101,11 +283,64 @@ def early_stop(history: DataFrame, patience: int) -> DataFrame:
     return stop.join(best, "run", "left").select("run", "best_epoch", "stopped_at")
 
 
-def vocabulary_merge(base: DataFrame, extra: DataFrame) -> DataFrame:
-    """piece, new_id: extra's pieces that base lacks, each once, in extra's order, after base's last id."""
+def numbered(rows: DataFrame, order: list[str], group: Column, name: str) -> DataFrame:
+    """rows with their places from 0 on in the order, in the column name. No task sorts more than one group.
+
+    group must not fall in the order; the groups' sizes, one row for each, are added up in one task.
+    """
+    rows = rows.withColumn("__group", group)
+    sizes = rows.groupBy("__group").agg(F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__group").rowsBetween(Window.unboundedPreceding, -1))
+    starts = sizes.select("__group", F.coalesce(before, F.lit(0)).alias("__start"))
+    place = F.row_number().over(Window.partitionBy("__group").orderBy(*order)) - 1
+    return rows.withColumn("__place", place).join(starts, "__group").withColumn(name, F.col("__start") + F.col("__place")).drop("__group", "__n", "__start", "__place")
+
+
+#: Rows of consecutive numeric keys that are numbered together.
+GROUP_ROWS = 1 << 16
+
+
+def vocabulary_merge(base: DataFrame, extra: DataFrame, keep: Column | None = None) -> DataFrame:
+    """piece, new_id: extra's pieces that base lacks and that pass keep, each once, in extra's order, after base's last id. Only NORMAL pieces, where there is a type."""
+    if "type" in extra.columns:
+        extra = extra.where("type = 'NORMAL'")
+    extra = extra if keep is None else extra.where(keep)
     start = base.agg((F.max("piece_id") + 1).alias("start"))
     new = extra.join(base.select("piece"), "piece", "left_anti").groupBy("piece").agg(F.min("piece_id").alias("piece_id"))
-    return new.crossJoin(F.broadcast(start)).select("piece", (F.col("start") + F.row_number().over(Window.orderBy("piece_id")) - 1).cast("long").alias("new_id"))
+    placed = numbered(new, ["piece_id"], F.floor(F.col("piece_id") / GROUP_ROWS), "place")
+    return placed.crossJoin(F.broadcast(start)).select("piece", (F.coalesce("start", F.lit(0)) + F.col("place")).cast("long").alias("new_id"))
+
+
+def quantiles(rows: DataFrame, column: str, at: Sequence[float], parts: int = 1000) -> DataFrame:
+    """q, v: exact quantiles with linear interpolation; null without rows.
+
+    Approximate quantiles cut the values in parts, whose exact sizes tell the parts that hold the
+    wanted ranks; only values of these are ranked, equal ones as one.
+    """
+    spark = rows.sparkSession
+    values = rows.select(F.col(column).cast("double").alias("x")).where("x IS NOT NULL")
+    bounds = sorted(set(values.agg(F.percentile_approx("x", [i / parts for i in range(1, parts)], 10 * parts)).first()[0] or []))
+    cuts = F.array(*map(F.lit, bounds)) if bounds else F.array().cast("array<double>")
+    steps = [1 << k for k in range(len(bounds).bit_length() - 1, -1, -1)]
+    place = F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), lambda p, s: F.when((p + s <= len(bounds)) & (F.get(cuts, p + s - 1) < F.col("x")), p + s).otherwise(p)) if steps else F.lit(0)
+    placed = values.withColumn("part", place)
+    sizes = {r["part"]: r["n"] for r in placed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}  # parts rows at most
+    n, starts, total = sum(sizes.values()), {}, 0
+    for part in sorted(sizes):
+        starts[part], total = total, total + sizes[part]
+    if not n:
+        return spark.createDataFrame([(float(q), None) for q in at], "q double, v double")
+    ranks = {q: (int((n - 1) * q), min(int((n - 1) * q) + 1, n - 1)) for q in at}
+    wanted = sorted({r for pair in ranks.values() for r in pair})
+    holding = {p for r in wanted for p in sizes if starts[p] <= r < starts[p] + sizes[p]}
+    counts = placed.where(F.col("part").isin(*holding)).groupBy("part", "x").agg(F.count(F.lit(1)).alias("n"))
+    upto = F.sum("n").over(Window.partitionBy("part").orderBy("x"))
+    first = F.create_map(*(F.lit(x) for p in holding for x in (p, starts[p])))[F.col("part")]
+    ranked = counts.select("x", (first + upto - F.col("n")).alias("low"), (first + upto).alias("high"))
+    hit = F.filter(F.array(*map(F.lit, wanted)), lambda r: (r >= F.col("low")) & (r < F.col("high")))
+    found = {r["rank"]: r["x"] for r in ranked.select("x", F.explode(hit).alias("rank")).collect()}  # two rows at most for each quantile
+    exact = [(float(q), found[a] + (found[b] - found[a]) * ((n - 1) * q - a)) for q, (a, b) in ranks.items()]
+    return spark.createDataFrame(exact, "q double, v double")
 
 
 def mean_vectors(edges: DataFrame, vectors: DataFrame) -> DataFrame:

@@ -8,14 +8,15 @@ from __future__ import annotations
 import math
 import re
 import string
-from collections import Counter
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, LongType
-from pyspark.sql.window import Window
+
+from textloom.functions import text as T
+from textloom.operators.evaluation import GROUP_ROWS, numbered
 
 COUNTS = ArrayType(LongType())
 BLEU_ORDER, CHAR_ORDER, WORD_ORDER, BETA = 4, 6, 2, 2
@@ -32,15 +33,63 @@ def tokenize_13a(line: str) -> list[str]:
     return re.sub(r"([0-9])(-)", r"\1 \2 ", line).split()
 
 
-def _grams(items, n: int) -> Counter:
-    return Counter(tuple(items[i : i + n]) for i in range(len(items) - n + 1))
+#: Odd constants of the hash of a run of items.
+_STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
+_SEGMENT_BITS = 16
+
+
+def _run_counts(sides: list[list[np.ndarray]], orders: int) -> np.ndarray:
+    """Segments x orders x (runs of the first side, of the second, of both as multisets), for sides of equally many segments of numbered items."""
+    n = len(sides[0])
+    out = np.zeros((n, orders, 3), np.int64)
+    made = []
+    for items in sides:
+        flat = np.concatenate([np.zeros(0, np.int64), *items]).astype(np.uint64)
+        lengths = np.fromiter(map(len, items), np.int64, n)
+        segment = np.repeat(np.arange(n), lengths)
+        made.append((flat, lengths, segment, np.repeat(np.cumsum(lengths), lengths)))
+    hashes = [np.zeros(len(flat), np.uint64) for flat, *_ in made]
+    for order in range(orders):
+        keys = []
+        for side, (flat, lengths, segment, ends) in enumerate(made):
+            starts = np.flatnonzero(np.arange(len(flat)) + order < ends)
+            h = (hashes[side][starts] + flat[starts + order] + np.uint64(1)) * _STEP
+            hashes[side][starts] = h ^ h >> np.uint64(29)
+            mixed = hashes[side][starts] * _MIX
+            # A segment's number stands above the hash, so runs of different segments never meet.
+            keys.append(np.sort(segment[starts].astype(np.uint64) << np.uint64(64 - _SEGMENT_BITS) | mixed >> np.uint64(_SEGMENT_BITS)))
+            out[:, order, side] = np.maximum(lengths - order, 0)
+        (a, a_n), (b, b_n) = (np.unique(k, return_counts=True) for k in keys)
+        _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
+        both = np.minimum(a_n[at_a], b_n[at_b])
+        out[:, order, 2] = np.bincount((a[at_a] >> np.uint64(64 - _SEGMENT_BITS)).astype(np.int64), both, n)
+    return out
+
+
+def _numbered(sides: list[list[list[str]]]) -> list[list[np.ndarray]]:
+    numbers: dict[str, int] = {}
+    return [[np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)) for words in side] for side in sides]
+
+
+def _in_parts(hypotheses: list[str], references: list[str], count) -> list[list[int]]:
+    """Counts of all pairs, so many at a time that their numbers fit beside the hash."""
+    step = (1 << _SEGMENT_BITS) - 1
+    return [row for k in range(0, len(hypotheses), step) for row in count(hypotheses[k : k + step], references[k : k + step])]
+
+
+def bleu_counts_of(hypotheses: list[str], references: list[str], tokenize=tokenize_13a) -> list[list[int]]:
+    """For each pair: lengths of both, then matches and totals of each order. tokenize cuts a line to tokens."""
+
+    def count(h: list[str], r: list[str]) -> list[list[int]]:
+        sides = _numbered([[tokenize(t) for t in side] for side in (h, r)])
+        found = _run_counts(sides, BLEU_ORDER)
+        return np.concatenate([found[:, 0, :2], found[:, :, 2], found[:, :, 0]], axis=1).tolist()
+
+    return _in_parts(hypotheses, references, count)
 
 
 def bleu_counts(hypothesis: str, reference: str) -> list[int]:
-    """Lengths of both, then matches and totals of each order."""
-    h, r = tokenize_13a(hypothesis), tokenize_13a(reference)
-    found = [(_grams(h, n), _grams(r, n)) for n in range(1, BLEU_ORDER + 1)]
-    return [len(h), len(r), *((a & b).total() for a, b in found), *(a.total() for a, _ in found)]
+    return bleu_counts_of([hypothesis], [reference])[0]
 
 
 def bleu(counts) -> float:
@@ -71,15 +120,19 @@ def _chrf_words(text: str) -> list[str]:
     return out
 
 
+def chrf_counts_of(hypotheses: list[str], references: list[str]) -> list[list[int]]:
+    """For each pair: totals of both and matches, for each character and word order."""
+
+    def count(h: list[str], r: list[str]) -> list[list[int]]:
+        letters = [[np.frombuffer("".join(t.split()).encode("utf-32-le", "surrogatepass"), np.uint32) for t in side] for side in (h, r)]
+        words = _numbered([[_chrf_words(t) for t in side] for side in (h, r)])
+        return np.concatenate([_run_counts(letters, CHAR_ORDER), _run_counts(words, WORD_ORDER)], axis=1).reshape(len(h), CHRF_SIZE).tolist()
+
+    return _in_parts(hypotheses, references, count)
+
+
 def chrf_counts(hypothesis: str, reference: str) -> list[int]:
-    """Totals of both and matches, for each character and word order."""
-    out = []
-    sides = [("".join(t.split()), _chrf_words(t)) for t in (hypothesis, reference)]
-    for kind, orders in ((0, CHAR_ORDER), (1, WORD_ORDER)):
-        for n in range(1, orders + 1):
-            a, b = _grams(sides[0][kind], n), _grams(sides[1][kind], n)
-            out += [a.total(), b.total(), (a & b).total()]
-    return out
+    return chrf_counts_of([hypothesis], [reference])[0]
 
 
 def chrf(counts) -> float:
@@ -93,14 +146,25 @@ def chrf(counts) -> float:
     return 100 * (1 + BETA**2) * p * r / (BETA**2 * p + r) if p + r else 0.0
 
 
-@F.pandas_udf(COUNTS)
-def bleu_stats(h: pd.Series, r: pd.Series) -> pd.Series:
-    return pd.Series([bleu_counts(a or "", b or "") for a, b in zip(h, r, strict=True)])
+def bleu_stats(hypothesis, reference, tokenize=tokenize_13a) -> Column:
+    """tokenize cuts a line to tokens; with a subword model's it gives the counts of spBLEU."""
+
+    @F.pandas_udf(COUNTS)
+    def counts(h: pd.Series, r: pd.Series) -> pd.Series:
+        return pd.Series(bleu_counts_of(h.fillna("").tolist(), r.fillna("").tolist(), tokenize))
+
+    return counts(hypothesis, reference)
 
 
 @F.pandas_udf(COUNTS)
 def chrf_stats(h: pd.Series, r: pd.Series) -> pd.Series:
-    return pd.Series([chrf_counts(a or "", b or "") for a, b in zip(h, r, strict=True)])
+    return pd.Series(chrf_counts_of(h.fillna("").tolist(), r.fillna("").tolist()))
+
+
+@F.pandas_udf(DoubleType())
+def sentence_chrf(h: pd.Series, r: pd.Series) -> pd.Series:
+    """chrF++ of each pair, to two digits."""
+    return pd.Series([round(chrf(c), 2) for c in chrf_counts_of(h.fillna("").tolist(), r.fillna("").tolist())], dtype=float)
 
 
 @F.pandas_udf(DoubleType())
@@ -124,22 +188,95 @@ def corpus_scores(pairs: DataFrame) -> DataFrame:
     return sums.select("system", "n", bleu_score("b").alias("bleu"), chrf_score("c").alias("chrf"))
 
 
-def paired_bootstrap(a: np.ndarray, b: np.ndarray, closing, samples: int = 1000, seed: int = 13, digits: int = 2) -> dict[str, float]:
-    """Delta b - a of a metric over resampled segments; a and b are segments x counts."""
-    rng, n, deltas = np.random.default_rng(seed), len(a), []
-    for _ in range(samples):
-        at = rng.integers(0, n, n)
-        deltas.append(closing(b[at].sum(0)) - closing(a[at].sum(0)))
+def check_lengths(predictions: DataFrame, references: DataFrame, key: str) -> None:
+    """An error if a system lacks a segment of references or has one more."""
+    n = references.count()
+    wrong = predictions.join(references.select(key), key, "left_semi").groupBy("system").agg(F.count_distinct(key).alias("n"))
+    wrong = wrong.join(predictions.groupBy("system").agg(F.count(F.lit(1)).alias("rows")), "system", "full").where((F.coalesce("n", F.lit(0)) != n) | (F.col("rows") != n))
+    if rows := wrong.select("system", "rows").collect():
+        raise ValueError(f"length mismatch with {n} references: {sorted((r['system'], r['rows']) for r in rows)}")
+
+
+def robustness(pairs: DataFrame, least_words: tuple[int, ...] = (0, 5, 10)) -> DataFrame:
+    """min_words, system, n, chrf of pairs(system, src, hyp, ref): corpus chrF++ of the segments whose source has that many words or more. Counts are made once for all subsets."""
+    counted = pairs.select("system", T.count_words(F.col("src")).alias("words"), chrf_stats("hyp", "ref").alias("c"))
+    subsets = F.explode(F.filter(F.array(*map(F.lit, least_words)), lambda n: F.col("words") >= n)).alias("min_words")
+    sums = counted.select("system", subsets, "c").groupBy("min_words", "system").agg(F.count(F.lit(1)).alias("n"), _sums("c", CHRF_SIZE).alias("c"))
+    return sums.select("min_words", "system", "n", chrf_score("c").alias("chrf"))
+
+
+def _interval(deltas: np.ndarray, digits: int) -> dict:
     low, high = np.percentile(deltas, [2.5, 97.5])
-    delta = closing(b.sum(0)) - closing(a.sum(0))
-    return {"delta": round(delta, digits), "low": round(float(low), digits), "high": round(float(high), digits), "p": float(np.mean(np.array(deltas) <= 0))}
+    return {"ci95": [round(float(low), digits), round(float(high), digits)], "p_value": float(np.mean(deltas <= 0))}
+
+
+def paired_bootstrap(a: np.ndarray, b: np.ndarray, closing, samples: int = 1000, seed: int = 13, digits: int = 2, metric: str = "") -> dict:
+    """metric, a_score, b_score, delta, ci95 and p_value of b against a over resampled segments; a and b are segments x counts, closing turns summed counts to a score."""
+    if len(a) != len(b):
+        raise ValueError("length mismatch between the systems")
+    rng, n, deltas = np.random.default_rng(seed), len(a), np.empty(samples)
+    for k in range(samples):
+        at = rng.integers(0, n, size=n)
+        deltas[k] = closing(b[at].sum(0)) - closing(a[at].sum(0))
+    first, second = closing(a.sum(0)), closing(b.sum(0))
+    return {"metric": metric, "a_score": round(float(first), digits), "b_score": round(float(second), digits), "delta": round(float(second - first), digits), **_interval(deltas, digits)}
+
+
+def paired_bootstrap_segments(a, b, samples: int = 1000, seed: int = 13, metric: str = "comet") -> dict:
+    """The same of the means of segment scores, to four digits."""
+    if len(a) != len(b):
+        raise ValueError("length mismatch between the systems")
+    a, b = np.asarray(a, float), np.asarray(b, float)
+    rng, n = np.random.default_rng(seed), len(a)
+    deltas = np.array([b[at].mean() - a[at].mean() for at in (rng.integers(0, n, size=n) for _ in range(samples))])
+    return {"metric": metric, "a_score": round(float(a.mean()), 4), "b_score": round(float(b.mean()), 4), "delta": round(float(b.mean() - a.mean()), 4), **_interval(deltas, 4)}
+
+
+def per_segment(scored: DataFrame, keys: list[str], score: str = "score") -> DataFrame:
+    """keys, scores: a map from system to score for each segment."""
+    return scored.groupBy(*keys).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("system", F.col(score))))).alias("scores"))
+
+
+def evaluate(pairs: DataFrame, meta: DataFrame | None = None, labels: DataFrame | None = None, neural: DataFrame | None = None) -> DataFrame:
+    """system, label, n, bleu, chrf, the columns of meta, comet: a row for each system of pairs(system, seg, hyp, ref).
+
+    A label comes from labels(system, label), else from meta, else it is the name. neural(system,
+    score) has segment scores, whose mean is comet.
+    """
+    out = corpus_scores(pairs)
+    own = None
+    if meta is not None:
+        out = out.join(meta.withColumnRenamed("label", "__meta_label") if "label" in meta.columns else meta, "system", "left")
+        own = "__meta_label" if "label" in meta.columns else None
+    if labels is not None:
+        out = out.join(labels.select("system", F.col("label").alias("__label")), "system", "left")
+    names = [F.col(c) for c in ("__label" if labels is not None else None, own, "system") if c]
+    out = out.withColumn("label", F.coalesce(*names)).drop("__label", "__meta_label")
+    return out if neural is None else out.join(neural.groupBy("system").agg(F.round(F.avg("score"), 4).alias("comet")), "system", "left")
+
+
+def significance(pairs: DataFrame, comparisons: list[tuple[str, str]], samples: int = 1000, seed: int = 13) -> list[dict]:
+    """Paired bootstrap of BLEU and chrF++ for each comparison whose systems are both there. The counts of a test set, a row for each segment, come to the driver."""
+    stats: dict[str, dict[str, list]] = {}
+    wanted = {s for pair in comparisons for s in pair}
+    rows = pairs.where(F.col("system").isin(*wanted)).select("system", "seg", bleu_stats("hyp", "ref").alias("bleu"), chrf_stats("hyp", "ref").alias("chrf")).orderBy("seg").collect()
+    for r in rows:
+        of = stats.setdefault(r["system"], {"bleu": [], "chrf": []})
+        of["bleu"].append(r["bleu"])
+        of["chrf"].append(r["chrf"])
+    out = []
+    for a, b in comparisons:
+        if a in stats and b in stats:
+            for metric, closing in (("bleu", bleu), ("chrf", chrf)):
+                out.append({"a": a, "b": b, **paired_bootstrap(np.array(stats[a][metric]), np.array(stats[b][metric]), closing, samples, seed, metric=metric)})
+    return out
 
 
 def hash_bootstrap(rows: DataFrame, key: str, value: str, samples: int) -> DataFrame:
-    """sample, mean of value over n draws with replacement, each draw a hash of sample and place."""
+    """sample, mean of value over n draws with replacement, each draw a hash of sample and place. Draws are summed by place before they meet the rows."""
+    values = rows.select(F.col(key), F.col(value).cast("double").alias("v"))
+    placed = numbered(values, [key], F.floor(F.col(key) / GROUP_ROWS), "at").select("at", "v")
     n = rows.count()
-    numbered = rows.select((F.row_number().over(Window.orderBy(key)) - 1).alias("at"), F.col(value).cast("double").alias("v"))
     draws = rows.sparkSession.range(samples * n).select(F.floor(F.col("id") / n).alias("sample"), F.pmod(F.conv(F.substring(F.md5(F.col("id").cast("string")), 1, 8), 16, 10).cast("long"), F.lit(n)).alias("at"))
     counts = draws.groupBy("sample", "at").agg(F.count(F.lit(1)).alias("k"))
-    return counts.join(numbered, "at").groupBy("sample").agg((F.sum(F.col("v") * F.col("k")) / n).alias("mean"))
-
+    return counts.join(placed, "at").groupBy("sample").agg((F.sum(F.col("v") * F.col("k")) / n).alias("mean"))
