@@ -478,3 +478,46 @@ def test_quality_learns_and_keeps_rows(spark, docs, empty):
     kept = quality.accepted(docs, labels)
     assert kept.columns == docs.columns and quality.quality_scores(docs, labels.limit(0)).count() == docs.count()
     assert quality.quality_scores(empty, labels).count() == 0
+
+
+def test_quality_is_calibrated():
+    """On held-out texts whose label follows a known chance, scores come near that chance."""
+    rng = np.random.default_rng(13)
+    texts, chances = [], rng.random(1600)
+    labels = (rng.random(1600) < chances).astype(int)
+    for c in chances:
+        good = rng.random(40) < c
+        texts.append(" ".join(np.where(good, rng.choice(["river", "mill", "stone"], 40), rng.choice(["click", "buy", "now"], 40))))
+    network = quality.train(texts[:1000], labels[:1000].tolist())
+    scores = network.scores(quality.features(network.vectors, texts[1000:]))
+    held = labels[1000:]
+    assert np.mean((scores - held) ** 2) < np.mean((held.mean() - held) ** 2) * 0.85
+    for low in (0.0, 0.25, 0.5, 0.75):
+        some = (scores >= low) & (scores < low + 0.25)
+        if some.sum() >= 60:
+            assert abs(scores[some].mean() - held[some].mean()) < 0.15
+    again = network.scores(quality.features(network.vectors, [texts[1200], "other", texts[1200]]))
+    assert again[0] == again[2] == scores[200]
+
+
+def test_long_texts(spark):
+    """A megabyte in one text, with and without white space."""
+    long = ["word " * 200_000, "x" * 1_000_000, "é" * 300_000, " " * 1_000_000, "a1b2 " * 100_000]
+    rows = spark.createDataFrame([(i, t, "s") for i, t in enumerate(long)], "doc_id long, text string, source string")
+    assert {r["doc_id"]: r["n_shingles"] for r in shingle_join.link_components(rows).collect()} == {0: 1, 1: 1, 2: 1, 3: 0, 4: 1}
+    assert pii.find_pii(rows).count() == 5 and fingerprints.fingerprint_edits(rows).count() == 5
+    network = quality.train(["a b", "c!"], [0, 1])
+    assert quality.score(rows, network).count() == 5
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    some = rows.where("doc_id IN (0, 3, 4)")
+    pieces = packing.pack(some, path).collect()
+    assert sum(p["length"] for p in pieces) == sum(len(library.encode(long[i], add_special_tokens=False).ids) + 1 for i in (0, 3, 4))
+    words = public_tokenizers.path("word_bpe_49k.json")
+    other = Tokenizer.from_file(words)
+    assert [r["n_tokens"] for r in id_files.file_round_trip(some, words).orderBy("doc_id").collect()] == [len(other.encode(long[i], add_special_tokens=False).ids) + 1 for i in (0, 3, 4)]
+
+
+def test_empty_tables_and_clashing_columns(spark):
+    pages = spark.createDataFrame([(1, "http://a.org/x", "own", "own", "own")], "page_id long, url string, host string, rule string, verdict string")
+    assert urls.judge(pages).count() == 1 and urls.judge(pages.limit(0)).count() == 0 and urls.judge(pages).first()["host"] == "a.org"
