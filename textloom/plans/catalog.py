@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from textloom.functions import text as T
 from textloom.operators import align, evaluation, inference, metrics, segment, tokens
+from textloom.sources import files
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -31,7 +32,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents")
+    return files.spread(_table(spark, sf_dir, "documents"))
 
 
 # A small glossary for the driver's prose, and illustrative prices a million words.

@@ -14,6 +14,16 @@ from textloom.functions import text as T
 LINE_END = "\r\n|[\n\r\u000b\u000c\u001c-\u001e\u0085  ]"
 
 
+#: A table below this size may be one row group of one file, which one task would read.
+SMALL_BYTES = 32 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """rows; those of a table below SMALL_BYTES dealt to as many tasks as there are cores. Larger tables stay as their files cut them."""
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else rows
+
+
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the file's stem) and text of whole files, normalised; a byte-order mark goes."""
     rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("doc_id"), F.col("value").alias("text"))
