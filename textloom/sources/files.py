@@ -20,7 +20,7 @@ SMALL_BYTES = 32 << 20
 
 def spread(rows: DataFrame) -> DataFrame:
     """rows; those of a table below SMALL_BYTES dealt to as many tasks as there are cores. Larger tables stay as their files cut them."""
-    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else rows
 
 
