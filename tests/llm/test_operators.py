@@ -230,7 +230,9 @@ def test_packing_keeps_the_mixture_over_partitions(spark):
     assert all(abs(w["a"] - 0.75 * packing.WINDOW) <= 4 and w["c"] == 0 for w in first)
 
 
-def test_join_equals_brute_force(spark, docs, empty):
+@pytest.mark.parametrize("block", [1024, 3])
+def test_join_equals_brute_force(spark, docs, empty, monkeypatch, block):
+    monkeypatch.setattr(shingle_join, "BLOCK_POSTINGS", block)  # frequent shingles are split
     rng = np.random.default_rng(3)
     base = [" ".join(rng.choice(["aa", "bb", "cc", "dd", "ee", "ff", "gg"], 60)) for _ in range(6)]
     texts = list(TEXTS)
@@ -240,6 +242,9 @@ def test_join_equals_brute_force(spark, docs, empty):
             for at in rng.integers(0, 60, rng.integers(0, 3)):
                 words[at] = "zz"
             texts.append(" ".join(words))
+    # Texts that share one line, of every size around the bound, that link in part.
+    line = " ".join(f"l{k}" for k in range(40))
+    texts += [line + " " + " ".join(f"x{k}y{j}" for j in range(k // 2)) for k in range(40)]
     rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in shingle_join.link_components(rows).collect()}
     sets = []

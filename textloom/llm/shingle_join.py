@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import by_ids, hot_join, map_arrow, text_or_empty, written
+from textloom.llm.common import SENT_IDS, by_ids, hot_join, map_arrow, text_or_empty, written
 from textloom.llm.components import components
 from textloom.llm.runs import PIECE, factor, hashes, mixed
 
@@ -35,6 +35,8 @@ PERCENT = 75
 CELL_BITS, CHUNK_BITS = 23, 13
 #: A task counts blocks of so many shingles, and names those that come so often in one.
 BLOCK, OFTEN = 8_000_000, 2
+#: Postings of one shingle, and sets of about one size, that meet in one task.
+BLOCK_POSTINGS = 1024
 #: Parts of the hash range; those that one set has and another lacks bound their intersection from above.
 MAP_BITS = 2048
 _GAP = re.compile(rb"[\x20\x09-\x0D]")
@@ -188,6 +190,24 @@ def _missing(a: str, b: str) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.bit_count(x.bitwiseAND(F.bitwise_not(y)))), F.lit(0), lambda acc, n: acc + n)
 
 
+def _dealt(postings: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The postings twice, as smaller and as larger set, with the keys under which two that may link meet once: shingle, band and block.
+
+    A band holds sizes within the wanted similarity of one another, so a set meets larger ones in its
+    own band and the next. The larger sets of a frequent key are dealt to blocks of about
+    BLOCK_POSTINGS, and the smaller ones sent to each, so that no task gets all of them.
+    """
+    band = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100.0 / percent * 1.0001))).cast("int")
+    rows = postings.withColumn("band", band)
+    frequent = rows.groupBy("shingle", "band").agg(F.ceil(F.count(F.lit(1)) / BLOCK_POSTINGS).cast("int").alias("blocks")).where("blocks > 1")
+    frequent = written(frequent, "frequent")  # one row for BLOCK_POSTINGS postings at most
+    frequent = F.broadcast(frequent) if frequent.count() <= SENT_IDS else frequent
+    side = lambda name: (F.col(c).alias(f"{c}_{name}") for c in ("doc", "n", "pos", "component"))
+    larger = rows.join(frequent, ["shingle", "band"], "left").select("shingle", "band", F.coalesce(F.pmod(F.xxhash64("doc"), F.col("blocks")), F.lit(0)).cast("int").alias("block"), *side("b"))
+    smaller = rows.withColumn("band", F.explode(F.array(F.col("band"), F.col("band") + 1))).join(frequent, ["shingle", "band"], "left")
+    return smaller.select("shingle", "band", F.explode(F.sequence(F.lit(0), F.coalesce("blocks", F.lit(1)) - 1)).alias("block"), *side("a")), larger
+
+
 def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles and component_id of every row of docs.
 
@@ -240,12 +260,13 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     labelled = postings.join(near, "doc", "left").select("shingle", "doc", "n", "pos", F.coalesce("component", "doc").alias("component"))
     split = labelled.groupBy("shingle").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("shingle")
     open_ = written(labelled.join(split, "shingle", "left_semi"), "postings")
-    a, b = (open_.select("shingle", *(F.col(c).alias(f"{c}_{side}") for c in ("doc", "n", "pos", "component"))) for side in "ab")
+    a, b = _dealt(open_, percent)
     # The positional filter: what remains of both sets from a shared shingle on must suffice.
     rest = F.least(F.col("n_a") - F.col("pos_a"), F.col("n_b") - F.col("pos_b"))
-    long_enough = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent) & (rest >= _needed(F.col("n_a"), F.col("n_b"), percent))
-    pairs = a.join(b, "shingle").where((F.col("doc_a") < F.col("doc_b")) & (F.col("component_a") != F.col("component_b")) & long_enough)
-    pairs = pairs.select(F.col("doc_a").alias("a"), F.col("doc_b").alias("b")).distinct()
+    once = (F.col("n_a") < F.col("n_b")) | (F.col("n_a") == F.col("n_b")) & (F.col("doc_a") < F.col("doc_b"))
+    long_enough = (F.col("n_a") * 100 >= F.col("n_b") * percent) & (rest >= _needed(F.col("n_a"), F.col("n_b"), percent))
+    pairs = a.join(b, ["shingle", "band", "block"]).where(once & (F.col("doc_a") != F.col("doc_b")) & (F.col("component_a") != F.col("component_b")) & long_enough)
+    pairs = pairs.select(F.least("doc_a", "doc_b").alias("a"), F.greatest("doc_a", "doc_b").alias("b")).distinct()
     more = checked(pairs.join(star, ["a", "b"], "left_anti"))
 
     merged = near.select(F.col("doc").alias("u"), F.col("component").alias("v")).union(more.select(F.col("a").alias("u"), F.col("b").alias("v")))
