@@ -39,6 +39,7 @@ def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents' ids in windows that hold each source by its share; null and empty texts are the end id alone."""
     return packing.pack(docs, public_tokenizers.path("byte_bpe_50k.json"), added=True)
 
 
