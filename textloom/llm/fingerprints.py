@@ -22,8 +22,8 @@ from pyspark.sql.window import Window
 
 from textloom.llm.common import text_or_empty
 
-#: Samples, and how many of them are drawn in one row: with more, the generated code is too long for the JVM to compile.
-SAMPLES, GROUP = 64, 2
+#: Samples, and how many of them a row draws for a word that comes once: with more, the generated code is too long for the JVM to compile.
+SAMPLES, GROUP = 64, 8
 #: Documents in one bucket of consecutive ids; buckets are cut twice, each time in so many parts at most.
 BUCKET_ROWS, CUTS = 200, 1000
 #: What tells the hash functions of a group apart: signed 64-bit.
@@ -38,35 +38,45 @@ def _uniform(h: Column, low: int) -> Column:
     return (_bits(h, low, 20) + F.lit(0.5)) / F.lit(float(1 << 20))
 
 
-def _samples(terms: DataFrame, keep: list[str]) -> DataFrame:
-    """keep and s0, s1, …: 1 - exp(-a), scaled to 31 bits, above the 32 bits that name (term, t); the least is the sample.
+def _drawn(h: Column, m: Column, rows: DataFrame) -> DataFrame:
+    """rows with drawn: the sample of a word that comes w > 1 times, from h and the bits m hashed from it; null where w is 1.
 
-    Reads term and w. Steps that need logarithms are columns of their own, so that each is made once
-    and only for words that need it: with z = ln(1 + x), t is 0 where x > w - 1, and exp(-r) is
-    u / (1 + x) with u = exp(-e3).
+    It is 1 - exp(-a), scaled to 31 bits, above the 32 bits that name (term, t). Steps that need
+    logarithms are columns of their own, so that each is made once and only for words that need it:
+    with z = ln(1 + x), t is 0 where x > w - 1, and exp(-r) is g = u / (1 + x) with u = exp(-e3).
     """
-    k = range(GROUP)
-    least = lambda name, i: F.col(f"{name}{i}")
-    below = lambda i: (F.shiftrightunsigned(least("h", i), 33) + F.lit(0.5)) / F.lit(float(1 << 31))  # noqa: E731  1 - exp(-a1)
+    below = (F.shiftrightunsigned("h", 33) + F.lit(0.5)) / F.lit(float(1 << 31))  # 1 - exp(-a1)
+    rows = rows.withColumn("h", h).withColumn("m", m)
     # ln(u2) / ln(1 - below) is e2 / e1. Where w is 2 and u2 below 1 - below, x is above 1.
-    ratio = lambda i: F.ln(_uniform(least("m", i), 0)) / F.log1p(-below(i))
-    rows = terms.select(*keep, "w", *(F.xxhash64(F.col("term").bitwiseXOR(F.lit(SALTS[i]))).alias(f"h{i}") for i in k))
-    rows = rows.select("*", *(F.when(F.col("w") > 1, F.xxhash64(least("h", i))).alias(f"m{i}") for i in k))
-    rows = rows.select("*", *(F.when((F.col("w") > 2) | (F.col("w") == 2) & (_uniform(least("m", i), 0) >= 1 - below(i)), ratio(i)).alias(f"x{i}") for i in k))
-    rows = rows.select("*", *(F.when(least("x", i) <= F.col("w") - 1, _uniform(least("m", i), 20) / (1 + least("x", i))).alias(f"g{i}") for i in k))
+    few = (F.col("w") > 2) | (F.col("w") == 2) & (_uniform(F.col("m"), 0) >= 1 - below)
+    rows = rows.withColumn("x", F.when(few, F.ln(_uniform(F.col("m"), 0)) / F.log1p(-below)))
+    rows = rows.withColumn("g", F.when(F.col("x") <= F.col("w") - 1, _uniform(F.col("m"), 20) / (1 + F.col("x"))))
     # t is the number of times that 1 + x times powers of 1 / g stays at w or less.
-    room = lambda i: F.col("w") / (1 + least("x", i))
-    turns = lambda i: F.when(room(i) * least("g", i) < 1, 1).when(room(i) * least("g", i) * least("g", i) < 1, 2).otherwise(F.floor(-F.ln(room(i)) / F.ln(least("g", i))) + 1)
-    rows = rows.select("*", *(F.when(least("g", i).isNotNull(), turns(i).cast("long")).alias(f"t{i}") for i in k))
+    room = F.col("w") / (1 + F.col("x"))
+    turns = F.when(room * F.col("g") < 1, 1).when(room * F.col("g") * F.col("g") < 1, 2).otherwise(F.floor(-F.ln(room) / F.ln("g")) + 1)
+    rows = rows.withColumn("t", F.when(F.col("g").isNotNull(), turns.cast("long")))
+    shrunk = F.when(F.col("t") == 1, F.col("g")).when(F.col("t") == 2, F.col("g") * F.col("g")).otherwise(F.exp(F.ln("g") * F.col("t")))
+    scaled = (-F.expm1(shrunk * F.log1p(-below)) * float(1 << 31)).cast("long")
+    name = F.shiftrightunsigned("h", 1).bitwiseXOR(F.col("t") * F.lit(40503)).bitwiseAND(F.lit((1 << 32) - 1))
+    sample = F.when(F.col("t").isNull(), F.shiftrightunsigned("h", 1)).otherwise(F.shiftleft(scaled, 32).bitwiseOR(name))
+    return rows.withColumn("drawn", F.when(F.col("w") > 1, sample))
+
 
-    def sample(i: int) -> Column:
-        h, g, t = least("h", i), least("g", i), least("t", i)
-        shrunk = F.when(t == 1, g).when(t == 2, g * g).otherwise(F.exp(F.ln(g) * t))
-        scaled = (-F.expm1(shrunk * F.log1p(-below(i))) * float(1 << 31)).cast("long")
-        name = F.shiftrightunsigned(h, 1).bitwiseXOR(t * F.lit(40503)).bitwiseAND(F.lit((1 << 32) - 1))
-        return F.when(t.isNull(), F.shiftrightunsigned(h, 1)).otherwise(F.shiftleft(scaled, 32).bitwiseOR(name))
+def _samples(terms: DataFrame, keep: list[str]) -> DataFrame:
+    """keep, part and s0, s1, …: the samples of a part of the hash functions, the least of which counts. Reads term and w.
 
-    return rows.select(*keep, *(sample(i).alias(f"s{i}") for i in k))
+    Most words come once. Such a word has a row for each part, with all samples of the part, hashes
+    alone; another has a row for each sample, the others being null.
+    """
+    parts = range(SAMPLES // GROUP)
+    slot = lambda p, k: F.struct(F.lit(p).alias("part"), F.lit(k).alias("k"), F.lit(SALTS[k] if k >= 0 else 0).alias("salt"))
+    once, often = F.array(*(slot(p, -1) for p in parts)), F.array(*(slot(p, k) for p in parts for k in range(GROUP)))
+    rows = terms.select(*keep, "term", "w", F.explode(F.when(F.col("w") == 1, once).otherwise(often)).alias("slot"))
+    rows = rows.select(*keep, "w", "slot.part", "slot.k", "slot.salt", F.xxhash64("term", "slot.part").alias("term"))
+    hashed = F.when(F.col("w") > 1, F.xxhash64(F.col("term").bitwiseXOR(F.col("salt"))))
+    rows = _drawn(hashed, F.when(F.col("w") > 1, F.xxhash64("h")), rows)
+    plain = lambda k: F.shiftrightunsigned(F.xxhash64(F.col("term").bitwiseXOR(F.lit(SALTS[k]))), 1)
+    return rows.select(*keep, "part", *(F.when(F.col("k") < 0, plain(k)).when(F.col("k") == k, F.col("drawn")).alias(f"s{k}") for k in range(GROUP)))
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -77,13 +87,11 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     """
     words = texts.select(*keys, F.explode(F.split(F.col(text), r"\s+")).alias("word"))
     terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("w"))
-    groups = F.explode(F.array(*(F.struct(F.lit(g).alias("g"), F.xxhash64("term", F.lit(g)).alias("term")) for g in range(SAMPLES // GROUP)))).alias("s")
-    drawn = _samples(terms.select(*keys, "w", groups).select(*keys, "w", "s.g", "s.term"), [*keys, "g"])
-    least = drawn.groupBy(*keys, "g").agg(*(F.min(f"s{k}").alias(f"s{k}") for k in range(GROUP)))
+    least = _samples(terms, keys).groupBy(*keys, "part").agg(*(F.min(f"s{k}").alias(f"s{k}") for k in range(GROUP)))
     digits = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 32) - 1)))), 8, "0") for k in range(GROUP)]
-    parts = least.select(*keys, "g", F.concat(*digits).alias("part"))
-    whole = [F.max(F.when(F.col("g") == g, F.col("part"))).alias(f"p{g}") for g in range(SAMPLES // GROUP)]
-    return parts.groupBy(*keys).agg(*whole).select(*keys, F.concat(*(f"p{g}" for g in range(SAMPLES // GROUP))).alias("fingerprint"))
+    parts = least.select(*keys, "part", F.concat(*digits).alias("digits"))
+    whole = [F.max(F.when(F.col("part") == p, F.col("digits"))).alias(f"p{p}") for p in range(SAMPLES // GROUP)]
+    return parts.groupBy(*keys).agg(*whole).select(*keys, F.concat(*(f"p{p}" for p in range(SAMPLES // GROUP))).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
