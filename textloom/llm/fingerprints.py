@@ -47,16 +47,17 @@ def _drawn(h: Column, m: Column, rows: DataFrame) -> DataFrame:
     """
     below = (F.shiftrightunsigned("h", 33) + F.lit(0.5)) / F.lit(float(1 << 31))  # 1 - exp(-a1)
     rows = rows.withColumn("h", h).withColumn("m", m)
-    # ln(u2) / ln(1 - below) is e2 / e1. Where w is 2 and u2 below 1 - below, x is above 1.
-    few = (F.col("w") > 2) | (F.col("w") == 2) & (_uniform(F.col("m"), 0) >= 1 - below)
-    rows = rows.withColumn("x", F.when(few, F.ln(_uniform(F.col("m"), 0)) / F.log1p(-below)))
+    # ln(u2) / ln(1 - below) is e2 / e1. Where u2 is below 1 - (w - 1) below, and so below the power w - 1 of 1 - below, x is above w - 1.
+    in_doubt = _uniform(F.col("m"), 0) >= 1 - (F.col("w") - 1) * below
+    rows = rows.withColumn("l", F.when(in_doubt, F.log1p(-below)))
+    rows = rows.withColumn("x", F.ln(F.when(F.col("l").isNotNull(), _uniform(F.col("m"), 0))) / F.col("l"))
     rows = rows.withColumn("g", F.when(F.col("x") <= F.col("w") - 1, _uniform(F.col("m"), 20) / (1 + F.col("x"))))
     # t is the number of times that 1 + x times powers of 1 / g stays at w or less.
     room = F.col("w") / (1 + F.col("x"))
     turns = F.when(room * F.col("g") < 1, 1).when(room * F.col("g") * F.col("g") < 1, 2).otherwise(F.floor(-F.ln(room) / F.ln("g")) + 1)
     rows = rows.withColumn("t", F.when(F.col("g").isNotNull(), turns.cast("long")))
     shrunk = F.when(F.col("t") == 1, F.col("g")).when(F.col("t") == 2, F.col("g") * F.col("g")).otherwise(F.exp(F.ln("g") * F.col("t")))
-    scaled = (-F.expm1(shrunk * F.log1p(-below)) * float(1 << 31)).cast("long")
+    scaled = (-F.expm1(shrunk * F.col("l")) * float(1 << 31)).cast("long")
     name = F.shiftrightunsigned("h", 1).bitwiseXOR(F.col("t") * F.lit(40503)).bitwiseAND(F.lit((1 << 32) - 1))
     sample = F.when(F.col("t").isNull(), F.shiftrightunsigned("h", 1)).otherwise(F.shiftleft(scaled, 32).bitwiseOR(name))
     return rows.withColumn("drawn", F.when(F.col("w") > 1, sample))
