@@ -39,45 +39,45 @@ def _uniform(h: Column, low: int) -> Column:
 
 
 def _drawn(h: Column, m: Column, rows: DataFrame) -> DataFrame:
-    """rows with drawn: the sample of a word that comes w > 1 times, from h and the bits m hashed from it; null where w is 1.
+    """rows with __drawn: the sample of a word that comes w > 1 times, from h and the bits m hashed from it; null where w is 1.
 
     It is 1 - exp(-a), scaled to 31 bits, above the 32 bits that name (term, t). Steps that need
     logarithms are columns of their own, so that each is made once and only for words that need it:
     with z = ln(1 + x), t is 0 where x > w - 1, and exp(-r) is g = u / (1 + x) with u = exp(-e3).
     """
-    below = (F.shiftrightunsigned("h", 33) + F.lit(0.5)) / F.lit(float(1 << 31))  # 1 - exp(-a1)
-    rows = rows.withColumn("h", h).withColumn("m", m)
+    below = (F.shiftrightunsigned("__h", 33) + F.lit(0.5)) / F.lit(float(1 << 31))  # 1 - exp(-a1)
+    rows = rows.withColumn("__h", h).withColumn("__m", m)
     # ln(u2) / ln(1 - below) is e2 / e1. Where u2 is below 1 - (w - 1) below, and so below the power w - 1 of 1 - below, x is above w - 1.
-    in_doubt = _uniform(F.col("m"), 0) >= 1 - (F.col("w") - 1) * below
-    rows = rows.withColumn("l", F.when(in_doubt, F.log1p(-below)))
-    rows = rows.withColumn("x", F.ln(F.when(F.col("l").isNotNull(), _uniform(F.col("m"), 0))) / F.col("l"))
-    rows = rows.withColumn("g", F.when(F.col("x") <= F.col("w") - 1, _uniform(F.col("m"), 20) / (1 + F.col("x"))))
+    in_doubt = _uniform(F.col("__m"), 0) >= 1 - (F.col("__w") - 1) * below
+    rows = rows.withColumn("__l", F.when(in_doubt, F.log1p(-below)))
+    rows = rows.withColumn("__x", F.ln(F.when(F.col("__l").isNotNull(), _uniform(F.col("__m"), 0))) / F.col("__l"))
+    rows = rows.withColumn("__g", F.when(F.col("__x") <= F.col("__w") - 1, _uniform(F.col("__m"), 20) / (1 + F.col("__x"))))
     # t is the number of times that 1 + x times powers of 1 / g stays at w or less.
-    room = F.col("w") / (1 + F.col("x"))
-    turns = F.when(room * F.col("g") < 1, 1).when(room * F.col("g") * F.col("g") < 1, 2).otherwise(F.floor(-F.ln(room) / F.ln("g")) + 1)
-    rows = rows.withColumn("t", F.when(F.col("g").isNotNull(), turns.cast("long")))
-    shrunk = F.when(F.col("t") == 1, F.col("g")).when(F.col("t") == 2, F.col("g") * F.col("g")).otherwise(F.exp(F.ln("g") * F.col("t")))
-    scaled = (-F.expm1(shrunk * F.col("l")) * float(1 << 31)).cast("long")
-    name = F.shiftrightunsigned("h", 1).bitwiseXOR(F.col("t") * F.lit(40503)).bitwiseAND(F.lit((1 << 32) - 1))
-    sample = F.when(F.col("t").isNull(), F.shiftrightunsigned("h", 1)).otherwise(F.shiftleft(scaled, 32).bitwiseOR(name))
-    return rows.withColumn("drawn", F.when(F.col("w") > 1, sample))
+    room = F.col("__w") / (1 + F.col("__x"))
+    turns = F.when(room * F.col("__g") < 1, 1).when(room * F.col("__g") * F.col("__g") < 1, 2).otherwise(F.floor(-F.ln(room) / F.ln("__g")) + 1)
+    rows = rows.withColumn("__t", F.when(F.col("__g").isNotNull(), turns.cast("long")))
+    shrunk = F.when(F.col("__t") == 1, F.col("__g")).when(F.col("__t") == 2, F.col("__g") * F.col("__g")).otherwise(F.exp(F.ln("__g") * F.col("__t")))
+    scaled = (-F.expm1(shrunk * F.col("__l")) * float(1 << 31)).cast("long")
+    name = F.shiftrightunsigned("__h", 1).bitwiseXOR(F.col("__t") * F.lit(40503)).bitwiseAND(F.lit((1 << 32) - 1))
+    sample = F.when(F.col("__t").isNull(), F.shiftrightunsigned("__h", 1)).otherwise(F.shiftleft(scaled, 32).bitwiseOR(name))
+    return rows.withColumn("__drawn", F.when(F.col("__w") > 1, sample))
 
 
 def _samples(terms: DataFrame, keep: list[str]) -> DataFrame:
-    """keep, part and s0, s1, …: the samples of a part of the hash functions, the least of which counts. Reads term and w.
+    """keep, __part and __s0, __s1, …: the samples of a part of the hash functions, the least of which counts. Reads __term and __w.
 
     Most words come once. Such a word has a row for each part, with all samples of the part, hashes
     alone; another has a row for each sample, the others being null.
     """
     parts = range(SAMPLES // GROUP)
-    slot = lambda p, k: F.struct(F.lit(p).alias("part"), F.lit(k).alias("k"), F.lit(SALTS[k] if k >= 0 else 0).alias("salt"))
+    slot = lambda p, k: F.struct(F.lit(p).alias("__part"), F.lit(k).alias("__k"), F.lit(SALTS[k] if k >= 0 else 0).alias("__salt"))
     once, often = F.array(*(slot(p, -1) for p in parts)), F.array(*(slot(p, k) for p in parts for k in range(GROUP)))
-    rows = terms.select(*keep, "term", "w", F.explode(F.when(F.col("w") == 1, once).otherwise(often)).alias("slot"))
-    rows = rows.select(*keep, "w", "slot.part", "slot.k", "slot.salt", F.xxhash64("term", "slot.part").alias("term"))
-    hashed = F.when(F.col("w") > 1, F.xxhash64(F.col("term").bitwiseXOR(F.col("salt"))))
-    rows = _drawn(hashed, F.when(F.col("w") > 1, F.xxhash64("h")), rows)
-    plain = lambda k: F.shiftrightunsigned(F.xxhash64(F.col("term").bitwiseXOR(F.lit(SALTS[k]))), 1)
-    return rows.select(*keep, "part", *(F.when(F.col("k") < 0, plain(k)).when(F.col("k") == k, F.col("drawn")).alias(f"s{k}") for k in range(GROUP)))
+    rows = terms.select(*keep, "__term", "__w", F.explode(F.when(F.col("__w") == 1, once).otherwise(often)).alias("__slot"))
+    rows = rows.select(*keep, "__w", "__slot.__part", "__slot.__k", "__slot.__salt", F.xxhash64("__term", "__slot.__part").alias("__term"))
+    hashed = F.when(F.col("__w") > 1, F.xxhash64(F.col("__term").bitwiseXOR(F.col("__salt"))))
+    rows = _drawn(hashed, F.when(F.col("__w") > 1, F.xxhash64("__h")), rows)
+    plain = lambda k: F.shiftrightunsigned(F.xxhash64(F.col("__term").bitwiseXOR(F.lit(SALTS[k]))), 1)
+    return rows.select(*keep, "__part", *(F.when(F.col("__k") < 0, plain(k)).when(F.col("__k") == k, F.col("__drawn")).alias(f"__s{k}") for k in range(GROUP)))
 
 
 def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
@@ -86,13 +86,13 @@ def signatures(texts: DataFrame, keys: list[str], text: str = "text") -> DataFra
     Where the rows already lie together by some of the keys, nothing is shuffled. Words are what
     white space separates; an empty text has the empty word. Equal texts have equal fingerprints.
     """
-    words = texts.select(*keys, F.explode(F.split(F.col(text), r"\s+")).alias("word"))
-    terms = words.groupBy(*keys, F.xxhash64("word").alias("term")).agg(F.count(F.lit(1)).alias("w"))
-    least = _samples(terms, keys).groupBy(*keys, "part").agg(*(F.min(f"s{k}").alias(f"s{k}") for k in range(GROUP)))
-    digits = [F.lpad(F.lower(F.hex(F.col(f"s{k}").bitwiseAND(F.lit((1 << 32) - 1)))), 8, "0") for k in range(GROUP)]
-    parts = least.select(*keys, "part", F.concat(*digits).alias("digits"))
-    whole = [F.max(F.when(F.col("part") == p, F.col("digits"))).alias(f"p{p}") for p in range(SAMPLES // GROUP)]
-    return parts.groupBy(*keys).agg(*whole).select(*keys, F.concat(*(f"p{p}" for p in range(SAMPLES // GROUP))).alias("fingerprint"))
+    words = texts.select(*keys, F.explode(F.split(F.col(text), r"\s+")).alias("__word"))
+    terms = words.groupBy(*keys, F.xxhash64("__word").alias("__term")).agg(F.count(F.lit(1)).alias("__w"))
+    least = _samples(terms, keys).groupBy(*keys, "__part").agg(*(F.min(f"__s{k}").alias(f"__s{k}") for k in range(GROUP)))
+    digits = [F.lpad(F.lower(F.hex(F.col(f"__s{k}").bitwiseAND(F.lit((1 << 32) - 1)))), 8, "0") for k in range(GROUP)]
+    parts = least.select(*keys, "__part", F.concat(*digits).alias("__digits"))
+    whole = [F.max(F.when(F.col("__part") == p, F.col("__digits"))).alias(f"__p{p}") for p in range(SAMPLES // GROUP)]
+    return parts.groupBy(*keys).agg(*whole).select(*keys, F.concat(*(f"__p{p}" for p in range(SAMPLES // GROUP))).alias("fingerprint"))
 
 
 def likeness(a: Column, b: Column) -> Column:
