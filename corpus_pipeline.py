@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from textloom.llm import packing, pii, quality, shingle_join
-from textloom.llm.common import table, written
+from textloom.llm.common import by_ids, table, written
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,13 +24,14 @@ def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
     Documents without words link with nothing and stay, and so do rows without a doc_id.
     """
-    linked = shingle_join.link_components(docs).where("doc_id = component_id").select(F.col("doc_id").alias("kept_id")).distinct()
+    ids = shingle_join.link_components(docs).where("doc_id IS NOT NULL").groupBy("doc_id")
+    marks = ids.agg(F.bool_or(F.col("doc_id") == F.col("component_id")).alias("stays"), F.count(F.lit(1)).alias("rows"))
+    # Ids that go or that rows share are fewer than the others, and written once: the plan of the links is made and run once.
+    marks = written(marks.where("NOT stays OR rows > 1").select("doc_id", F.col("stays").alias("repeated")), "marks")
+    single = by_ids(docs, marks.select("doc_id"), "doc_id", "left_anti").select(*docs.columns)
     # Rows that share a doc_id are few: only those are compared with one another.
-    rows = docs.join(linked, F.col("doc_id") == F.col("kept_id"), "left_semi")
-    repeated = rows.groupBy("doc_id").agg(F.count(F.lit(1)).alias("__rows")).where("__rows > 1").drop("__rows")
-    single = rows.join(repeated, "doc_id", "left_anti").select(*docs.columns)
-    several = rows.join(repeated, "doc_id", "left_semi").orderBy("doc_id", "text").dropDuplicates(["doc_id"]).select(*docs.columns)
-    return single.union(several).union(docs.where("doc_id IS NULL"))
+    several = by_ids(docs, marks.where("repeated").select("doc_id"), "doc_id", "left_semi")
+    return single.union(several.orderBy("doc_id", "text").dropDuplicates(["doc_id"]).select(*docs.columns))
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ import pytest
 from tokenizers import Tokenizer
 
 import corpus_pipeline
-from textloom.llm import packing, pii, quality
+from textloom.llm import components, packing, pii, quality, shingle_join
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -94,3 +94,60 @@ def test_stages_on_odd_tables(spark, tables):
     nothing = docs.limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, nothing, folder).count() == 0
+
+
+def joins(df):
+    return df._jdf.queryExecution().optimizedPlan().toString().count("Join ")
+
+
+@pytest.fixture
+def planned(monkeypatch):
+    """Joins of each table that components writes."""
+    out = []
+
+    def seen(df, tag, path=None, write=components.written):
+        out.append(joins(df))
+        return write(df, tag, path)
+
+    monkeypatch.setattr(components, "written", seen)
+    return out
+
+
+@pytest.mark.parametrize("sent", [None, 0])
+def test_components_equal_a_plain_version(spark, monkeypatch, planned, sent):
+    """Few edges take one join a round, whose plans and broadcasts are the driver's; more take those of hot keys."""
+    if sent is not None:
+        monkeypatch.setattr(components, "SENT_ROWS", sent)
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 400, (250, 2))]
+    edges += [(1000, 1000 + k) for k in range(1, 200)] + [(2000 + k, 2001 + k) for k in range(30)] + [(7, 7), (1001, 1000)]
+    label = {x: x for e in edges for x in e}
+    for _ in label:
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    found = components.components(spark.createDataFrame(edges, "u long, v long")).collect()
+    assert len(found) == len({r["node"] for r in found})
+    assert {r["node"]: r["component"] for r in found} == {x: c for x, c in label.items() if x != c}
+    assert max(planned) == 1 if sent is None else max(planned) > 1
+
+
+def test_links_are_planned_once(spark, tables, planned, monkeypatch):
+    """The driver's memory grows with the plans: the stage's result reads links from a table."""
+    base = "the river ran past the old mill and on to the sea and stone by stone"
+    rows = [(1, base), (2, base), (2, ""), (3, base), (3, base + " x"), (4, "b four"), (4, "a four"), (None, base), (5, None)]
+    docs = spark.createDataFrame([(i, t, "en", None, None, True, 9) for i, t in rows], SCHEMA + ", repeated boolean, rows int")
+    single = corpus_pipeline.near_duplicate_stage(spark, docs, tables[0])
+    assert joins(single) == 2 and single.columns == docs.columns
+    got = Counter((r["doc_id"], r["text"]) for r in single.collect())
+    assert got == Counter([(1, base), (2, ""), (4, "a four"), (None, base), (5, None)])
+    # The way of more rows than may be sent.
+    monkeypatch.setattr(components, "SENT_ROWS", 0)
+    monkeypatch.setattr(shingle_join, "SENT_ROWS", 0)
+    assert Counter((r["doc_id"], r["text"]) for r in corpus_pipeline.near_duplicate_stage(spark, docs, tables[0]).collect()) == got
+
+
+def test_training_gives_memory_back(spark, tables, monkeypatch):
+    called = []
+    monkeypatch.setattr(quality, "give_back", lambda: called.append(1))
+    quality.fit(spark.read.parquet(f"{tables[0]}/documents.parquet"), spark.read.parquet(f"{tables[0]}/labels.parquet"))
+    assert called

@@ -18,6 +18,9 @@ BATCH_ROWS, BATCH_BYTES = 500, 4 << 20
 #: So many ids, of 8 bytes each, may be sent to all executors.
 SENT_IDS = 1_000_000
 
+#: Tables of groups of so many rows, a number or digest for each, may be sent to all executors.
+SENT_ROWS = 100_000
+
 #: Keys with this share of all rows or more are hot; there can't be more of them than its inverse.
 HOT_SHARE = 1e-4
 
@@ -95,7 +98,7 @@ def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def give_back() -> None:
-    """Returns memory that the worker has freed to the system, as Spark keeps workers for later tasks."""
+    """Returns memory that this process has freed to the system, as Spark keeps workers for later tasks."""
     pa.default_memory_pool().release_unused()
     try:
         ctypes.CDLL(None).malloc_trim(0)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from textloom.llm.common import map_arrow, text_or_empty
+from textloom.llm.common import give_back, map_arrow, text_or_empty
 from textloom.llm.runs import PIECE, factor, hashes, mixed
 
 #: Labelled rows that the model is fitted on at most, those of least hash; the bound keeps the driver's work fixed.
@@ -212,7 +212,10 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = MAX_TRAINING_ROWS) -> Ne
     sample = known.orderBy(F.xxhash64("label_id"), "label_id").limit(rows)  # at most `rows` pairs of numbers
     texts = docs.select("doc_id", text_or_empty().alias("text")).join(F.broadcast(sample), F.col("doc_id") == F.col("label_id"))
     taken = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(rows).select("text", "quality").collect()
-    return train([r["text"] for r in taken], [r["quality"] for r in taken])
+    network = train([r["text"] for r in taken], [r["quality"] for r in taken])
+    del taken
+    give_back()  # training takes much more than what it leaves, and the driver goes on
+    return network
 
 
 def score(docs: DataFrame, network: Network) -> DataFrame:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from textloom.llm.common import SENT_IDS, by_ids, hot_join, map_arrow, text_or_empty, written
+from textloom.llm.common import SENT_IDS, SENT_ROWS, by_ids, hot_join, map_arrow, text_or_empty, written
 from textloom.llm.components import components
 from textloom.llm.runs import PIECE, factor, hashes, mixed
 
@@ -223,7 +223,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     classes = written(sets.where("n > 0 AND doc_id IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("rows")), "classes")
     total = classes.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
-    with_class = hot_join(sets, classes, "digest", "rows", total)
+    with_class = sets.join(F.broadcast(classes.drop("rows")), "digest", "left") if total <= SENT_ROWS else hot_join(sets, classes, "digest", "rows", total)
     rows = written(with_class.select("doc_id", "n", F.when((F.col("n") > 0) & F.col("doc_id").isNotNull(), F.col("rep")).alias("rep")), "classes")
     # Only texts of a class's representative matter; those of the other rows, the copies, are left out.
     copies = rows.where("rep IS NOT NULL").groupBy("doc_id").agg(F.bool_or(F.col("doc_id") == F.col("rep")).alias("stands")).where("NOT stands").select("doc_id")
@@ -248,7 +248,7 @@ def link_components(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         most = F.least(F.col("na") - _missing("map_a", "map_b"), F.col("nb") - _missing("map_b", "map_a"))
         left = pairs.join(of_a, "a").join(of_b, "b").where(most >= _needed(F.col("na"), F.col("nb"), percent)).select("a", "b").distinct()
         left = written(left, "bounded")
-        wanted = written(left.select(F.col("a").alias("doc")).union(left.select(F.col("b").alias("doc"))).distinct(), "wanted")
+        wanted = written(left.select(F.explode(F.array("a", "b")).alias("doc")).distinct(), "wanted")
         some = by_ids(known.select(F.col("doc_id").alias("doc"), "text"), wanted, "doc", "left_semi")
         return written(_verified(left, some, percent), "links")
 
