@@ -316,6 +316,25 @@ def test_metric_counts_equal_naive_ones():
     assert metrics.chrf_counts_of(list(h), list(r)) == [naive_counts(*p)[1] for p in pairs]
 
 
+def test_texts_are_cut_once_and_parts_count_alike(monkeypatch):
+    cut = []
+    refs = ["a b c d", "a b", "x, y."]
+    hyps = ["a b c d", "a b c", "x,"]
+    metrics.bleu_counts_of(hyps + hyps, refs + refs, lambda t: cut.append(t) or t.split())
+    assert sorted(cut) == sorted({*refs, *hyps})
+    rng = random.Random(7)
+    drawn = ["".join(rng.choices("ab.,-09 &;<>\n'\u00a0\x1cअ😀", k=rng.randrange(25))) for _ in range(300)] + ["&quot;a&amp;.5", "<skipped>1,000-2", "x-\ny"]
+    pairs = [(h, rng.choice([h, h[:9], h + r, r])) for h, r in zip(drawn, drawn[::-1])]
+    pairs += [(r, h) for h, r in pairs]
+    expected = [naive_counts(*p) for p in pairs]
+    for chars, most in ((1 << 20, 1 << 14), (60, 5), (1, 1)):
+        monkeypatch.setattr(metrics, "_PART_CHARS", chars)
+        monkeypatch.setattr(metrics, "_PART_PAIRS", most)
+        h, r = map(list, zip(*pairs))
+        assert metrics.bleu_counts_of(h, r) == [x for x, _ in expected] and metrics.chrf_counts_of(h, r) == [x for _, x in expected]
+    assert metrics.bleu_counts_of([], []) == metrics.chrf_counts_of([], []) == []
+
+
 def test_metrics(spark):
     assert metrics.bleu(metrics.bleu_counts("a b c d e", "a b c d e")) == pytest.approx(100)
     assert metrics.chrf(metrics.chrf_counts("Hello, world", "Hello, world")) == pytest.approx(100)

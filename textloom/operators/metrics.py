@@ -8,6 +8,8 @@ from __future__ import annotations
 import math
 import re
 import string
+from collections import defaultdict
+from itertools import chain, count
 
 import numpy as np
 import pandas as pd
@@ -23,69 +25,126 @@ BLEU_ORDER, CHAR_ORDER, WORD_ORDER, BETA = 4, 6, 2, 2
 BLEU_SIZE, CHRF_SIZE = 2 + 2 * BLEU_ORDER, 3 * (CHAR_ORDER + WORD_ORDER)
 
 
-def tokenize_13a(line: str) -> list[str]:
+def _plain_13a(line: str) -> str:
     line = line.replace("<skipped>", "").replace("-\n", "").replace("\n", " ")
     for entity, sign in (("&quot;", '"'), ("&amp;", "&"), ("&lt;", "<"), ("&gt;", ">")):
         line = line.replace(entity, sign)
+    return line
+
+
+def _split_13a(line: str) -> list[str]:
     line = re.sub(r"([\{-\~\[-\` -\&\(-\+\:-\@\/])", r" \1 ", f" {line} ")
     line = re.sub(r"([^0-9])([\.,])", r"\1 \2 ", line)
     line = re.sub(r"([\.,])([^0-9])", r" \1 \2", line)
     return re.sub(r"([0-9])(-)", r"\1 \2 ", line).split()
 
 
+def _word_13a(word: str) -> list[str]:
+    """_split_13a of one word, without its rules for words of letters and digits alone or before a full stop or comma."""
+    if word.isalnum():
+        return [word]
+    return [word[:-1], word[-1]] if word[-1] in ".," and word[:-1].isalnum() else _split_13a(word)
+
+
+def tokenize_13a(line: str) -> list[str]:
+    return _split_13a(_plain_13a(line))
+
+
 #: Odd constants of the hash of a run of items.
 _STEP, _MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
-_SEGMENT_BITS = 16
+#: Pairs that are counted together have about so many characters, and are so many at most: a segment's number stands above the hash.
+_PART_CHARS, _PART_PAIRS = 1 << 20, 1 << 14
 
 
-def _run_counts(sides: list[list[np.ndarray]], orders: int) -> np.ndarray:
-    """Segments x orders x (runs of the first side, of the second, of both as multisets), for sides of equally many segments of numbered items."""
+def _met(flat: np.ndarray, starts: np.ndarray, lengths: np.ndarray, sides: list[np.ndarray], orders: int) -> np.ndarray:
+    """Segments x orders: runs that both sides hold, as multisets. sides: the row of flat of each segment, for both."""
     n = len(sides[0])
-    out = np.zeros((n, orders, 3), np.int64)
-    made = []
-    for items in sides:
-        flat = np.concatenate([np.zeros(0, np.int64), *items]).astype(np.uint64)
-        lengths = np.fromiter(map(len, items), np.int64, n)
-        segment = np.repeat(np.arange(n), lengths)
-        made.append((flat, lengths, segment, np.repeat(np.cumsum(lengths), lengths)))
-    hashes = [np.zeros(len(flat), np.uint64) for flat, *_ in made]
+    out = np.zeros((n, orders), np.int64)
+    rows = np.concatenate(sides)
+    size = lengths[rows]
+    ends = np.cumsum(size)
+    items = flat[np.arange(size.sum()) + np.repeat(starts[rows] - ends + size, size)]
+    segment = np.repeat(np.tile(np.arange(n, dtype=np.uint64), 2), size)
+    second = np.repeat(np.repeat(np.array([0, 1], np.uint64), n), size)
+    left = np.repeat(ends, size) - np.arange(len(items))
+    bits = np.uint64(64 - max(1, (n - 1).bit_length()))
+    # A segment's number stands above the hash, so runs of different segments never meet; the lowest bit is the side.
+    above, hashes = segment << bits | second, np.zeros(len(items), np.uint64)
     for order in range(orders):
-        keys = []
-        for side, (flat, lengths, segment, ends) in enumerate(made):
-            starts = np.flatnonzero(np.arange(len(flat)) + order < ends)
-            h = (hashes[side][starts] + flat[starts + order] + np.uint64(1)) * _STEP
-            hashes[side][starts] = h ^ h >> np.uint64(29)
-            mixed = hashes[side][starts] * _MIX
-            # A segment's number stands above the hash, so runs of different segments never meet.
-            keys.append(np.sort(segment[starts].astype(np.uint64) << np.uint64(64 - _SEGMENT_BITS) | mixed >> np.uint64(_SEGMENT_BITS)))
-            out[:, order, side] = np.maximum(lengths - order, 0)
-        (a, a_n), (b, b_n) = (np.unique(k, return_counts=True) for k in keys)
-        _, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-        both = np.minimum(a_n[at_a], b_n[at_b])
-        out[:, order, 2] = np.bincount((a[at_a] >> np.uint64(64 - _SEGMENT_BITS)).astype(np.int64), both, n)
+        at = np.flatnonzero(left > order)
+        h = (hashes[at] + items[at + order] + np.uint64(1)) * _STEP
+        hashes[at] = h = h ^ h >> np.uint64(29)
+        keys = np.sort(above[at] | (h * _MIX >> np.uint64(64) - bits) & ~np.uint64(1))
+        if not len(keys):
+            break
+        runs = keys & ~np.uint64(1)
+        first = np.flatnonzero(np.concatenate([[True], runs[1:] != runs[:-1]]))
+        total = np.diff(first, append=len(keys))
+        several = total > 1
+        b = np.add.reduceat(keys & np.uint64(1), first)[several].astype(np.int64)
+        both = np.minimum(total[several] - b, b)
+        out[:, order] = np.bincount((runs[first[several]] >> bits).astype(np.int64), both, n)
     return out
 
 
-def _numbered(sides: list[list[list[str]]]) -> list[list[np.ndarray]]:
-    numbers: dict[str, int] = {}
-    return [[np.fromiter((numbers.setdefault(w, len(numbers)) for w in words), np.int64, len(words)) for words in side] for side in sides]
+def _run_counts(rows: list, flat: np.ndarray, h: np.ndarray, r: np.ndarray, orders: int) -> np.ndarray:
+    """Pairs x orders x (runs of the first, of the second, of both as multisets) for pairs h, r of rows, whose numbered items are flat."""
+    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
+    sizes = np.maximum(np.stack([lengths[h], lengths[r]], 1)[:, None, :] - np.arange(orders)[:, None], 0)
+    # All runs of a text that begins the other one are in that too.
+    begins = np.fromiter((rows[j][: len(rows[i])] == rows[i] for i, j in zip(h.tolist(), r.tolist(), strict=True)), bool, len(h))
+    both = sizes[:, :, 0].copy()
+    both[~begins] = _met(flat.astype(np.uint64), np.cumsum(lengths) - lengths, lengths, [h[~begins], r[~begins]], orders)
+    return np.concatenate([sizes, both[:, :, None]], axis=2)
+
 
+class _Words(dict):
+    """A word's pieces as numbers, made once for each word."""
 
-def _in_parts(hypotheses: list[str], references: list[str], count) -> list[list[int]]:
-    """Counts of all pairs, so many at a time that their numbers fit beside the hash."""
-    step = (1 << _SEGMENT_BITS) - 1
-    return [row for k in range(0, len(hypotheses), step) for row in count(hypotheses[k : k + step], references[k : k + step])]
+    def __init__(self, cut):
+        super().__init__()
+        self.cut, self.numbers = cut, defaultdict(count().__next__)
+
+    def __missing__(self, word: str) -> list[int]:
+        self[word] = found = [self.numbers[piece] for piece in self.cut(word)]
+        return found
+
+    def rows(self, texts: list[str]) -> tuple[list[list[int]], np.ndarray]:
+        return _with_flat([[n for w in t.split() for n in self[w]] for t in texts])
+
+
+def _with_flat(rows: list[list[int]]) -> tuple[list[list[int]], np.ndarray]:
+    return rows, np.fromiter(chain.from_iterable(rows), np.int64)
+
+
+def _in_parts(hypotheses: list[str], references: list[str], counts) -> list[list[int]]:
+    """Counts of all pairs, a part of them at a time; each text is cut once and equal pairs are counted once in a part. counts gets the texts and the pairs' places there."""
+    out, k = [], 0
+    ends = np.cumsum(np.fromiter(map(len, hypotheses), np.int64, len(hypotheses)) + np.fromiter(map(len, references), np.int64, len(references)))
+    while k < len(hypotheses):
+        stop = int(np.searchsorted(ends, (ends[k - 1] if k else 0) + _PART_CHARS))
+        stop = min(max(stop, k + 1), k + _PART_PAIRS, len(hypotheses))
+        texts: dict[str, int] = defaultdict(count().__next__)
+        h, r = (np.fromiter(map(texts.__getitem__, side[k:stop]), np.int64, stop - k) for side in (hypotheses, references))
+        pairs, back = np.unique(h * len(texts) + r, return_inverse=True)
+        out += counts(list(texts), pairs // len(texts), pairs % len(texts))[back].tolist()
+        k = stop
+    return out
 
 
 def bleu_counts_of(hypotheses: list[str], references: list[str], tokenize=tokenize_13a) -> list[list[int]]:
     """For each pair: lengths of both, then matches and totals of each order. tokenize cuts a line to tokens."""
 
-    def count(h: list[str], r: list[str]) -> list[list[int]]:
-        sides = _numbered([[tokenize(t) for t in side] for side in (h, r)])
-        found = _run_counts(sides, BLEU_ORDER)
-        return np.concatenate([found[:, 0, :2], found[:, :, 2], found[:, :, 0]], axis=1).tolist()
+    def counts(texts: list[str], h: np.ndarray, r: np.ndarray) -> np.ndarray:
+        if tokenize is tokenize_13a:  # its rules see no further than a word's end
+            rows, flat = _Words(_word_13a).rows([_plain_13a(t) for t in texts])
+        else:
+            numbers: dict[str, int] = defaultdict(count().__next__)
+            rows, flat = _with_flat([[numbers[w] for w in tokenize(t)] for t in texts])
+        found = _run_counts(rows, flat, h, r, BLEU_ORDER)
+        return np.concatenate([found[:, 0, :2], found[:, :, 2], found[:, :, 0]], axis=1)
 
-    return _in_parts(hypotheses, references, count)
+    return _in_parts(hypotheses, references, counts)
 
 
 def bleu_counts(hypothesis: str, reference: str) -> list[int]:
@@ -109,6 +168,8 @@ def bleu(counts) -> float:
 
 
 def _chrf_words(text: str) -> list[str]:
+    if text.isalnum():
+        return [text]
     out = []
     for w in text.split():
         if len(w) > 1 and w[-1] in string.punctuation:
@@ -123,12 +184,12 @@ def _chrf_words(text: str) -> list[str]:
 def chrf_counts_of(hypotheses: list[str], references: list[str]) -> list[list[int]]:
     """For each pair: totals of both and matches, for each character and word order."""
 
-    def count(h: list[str], r: list[str]) -> list[list[int]]:
-        letters = [[np.frombuffer("".join(t.split()).encode("utf-32-le", "surrogatepass"), np.uint32) for t in side] for side in (h, r)]
-        words = _numbered([[_chrf_words(t) for t in side] for side in (h, r)])
-        return np.concatenate([_run_counts(letters, CHAR_ORDER), _run_counts(words, WORD_ORDER)], axis=1).reshape(len(h), CHRF_SIZE).tolist()
+    def counts(texts: list[str], h: np.ndarray, r: np.ndarray) -> np.ndarray:
+        letters = ["".join(t.split()) for t in texts]
+        found = _run_counts(letters, np.frombuffer("".join(letters).encode("utf-32-le", "surrogatepass"), np.uint32), h, r, CHAR_ORDER)
+        return np.concatenate([found, _run_counts(*_Words(_chrf_words).rows(texts), h, r, WORD_ORDER)], axis=1).reshape(len(h), CHRF_SIZE)
 
-    return _in_parts(hypotheses, references, count)
+    return _in_parts(hypotheses, references, counts)
 
 
 def chrf_counts(hypothesis: str, reference: str) -> list[int]:
