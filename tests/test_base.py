@@ -409,6 +409,21 @@ def test_metrics(spark):
     assert subword[0] == len(worse[0])
 
 
+def test_offline_counters_need_no_python(spark, sf_dir):
+    rng = random.Random(11)
+    blank = "".join(map(chr, (9, 10, 11, 12, 13, 28, 29, 30, 31, 32, 133, 160, 0x1680, 0x2000, 0x200A, 0x2028, 0x2029, 0x202F, 0x205F, 0x3000)))
+    texts = ["", " ", "a", " a", "a ", "\u200b\ufeff", *blank, *("".join(rng.choices(blank + "  aбक्😀\u200b\x08\x0e\x84", k=rng.randrange(1, 30))) for _ in range(300))]
+    own = [tokens.WORDS, tokens.CHARACTERS, tokens.BYTES]
+    rows = spark.createDataFrame([*enumerate(texts), (-1, None)], "k long, text string").withColumn("lang", F.lit("en"))
+    got = {(r["k"], r["tokenizer"]): (r["tokens"], r["unknown"]) for r in tokens.counted(rows, ["k", "lang"], own).collect()}
+    assert got == {(k, t.name): (len(t.ids(text)), 0) for k, text in (*enumerate(texts), (-1, "")) for t in own}
+    stub = tokens.Tokenizer("stub", lambda t: [ord(c) % 2 for c in t], unknown=0)
+    both = {(r["k"], r["tokenizer"]): (r["tokens"], r["unknown"]) for r in tokens.counted(rows.withColumn("text", F.col("text")), ["k", "lang"], [tokens.WORDS, stub, tokens.BYTES]).collect()}
+    assert all(both[k, "stub"] == (len(text), stub.ids(text).count(0)) and both[k, "bytes"] == got[k, "bytes"] for k, text in enumerate(texts))
+    for name in ("token_limits", "token_stats", "tokens_per_source", "fertility_reduction", "pair_ratios", "tokenizer_study"):
+        assert "Python" not in catalog.QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_tokenizer_study(spark):
     stub = tokens.Tokenizer("stub", lambda t: [0 if c == "?" else 1 for c in t if not c.isspace()], unknown=0, price=(1.0, 1.0), max_length=5)
     rows = spark.createDataFrame([(1, "en", "ab cd"), (1, "hi", "क? ख"), (2, "en", ""), (2, "hi", "गघ")], "pair_id long, lang string, text string")

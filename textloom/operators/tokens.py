@@ -21,7 +21,7 @@ Ids = Callable[[str], list[int]]
 
 @dataclass(frozen=True)
 class Tokenizer:
-    """ids: a text's token ids without special tokens, by language where a tokenizer has a model for each. price: input and output dollars a million tokens."""
+    """ids: a text's token ids without special tokens, by language where a tokenizer has a model for each. count: their number as a column of the text, if there is one. price: input and output dollars a million tokens."""
 
     name: str
     ids: Ids | dict[str, Ids]
@@ -29,15 +29,30 @@ class Tokenizer:
     family: str = ""
     price: tuple[float, float] | None = None
     max_length: int | None = None
+    count: Callable[[Column], Column] | None = None
 
     def of(self, lang: str) -> Ids:
         return self.ids[lang] if isinstance(self.ids, dict) else self.ids
 
 
+#: White space in the sense of Python's split.
+_BLANK = r"(?U)[\s\x1c-\x1f]"
+
+
+def _parts(text: Column) -> Column:
+    """What stands between white space; empty at an end of the text that has some. Counts of one text share it."""
+    return F.split(text, f"{_BLANK}+")
+
+
+def _count_words(text: Column) -> Column:
+    ends = F.left(text, F.lit(1)).rlike(_BLANK).cast("int") + F.right(text, F.lit(1)).rlike(_BLANK).cast("int")
+    return F.size(_parts(text)) - ends - (text == "").cast("int")
+
+
 # Offline counters: words, characters other than white space, and bytes.
-WORDS = Tokenizer("words", lambda t: [len(w) for w in t.split()])
-CHARACTERS = Tokenizer("characters", lambda t: [ord(c) for c in "".join(t.split())])
-BYTES = Tokenizer("bytes", lambda t: list(t.encode()))
+WORDS = Tokenizer("words", lambda t: [len(w) for w in t.split()], count=_count_words)
+CHARACTERS = Tokenizer("characters", lambda t: [ord(c) for c in "".join(t.split())], count=lambda t: F.length(F.array_join(_parts(t), "")))
+BYTES = Tokenizer("bytes", lambda t: list(t.encode()), count=F.octet_length)
 
 
 def sentencepiece_ids(path: str) -> Ids:
@@ -74,25 +89,33 @@ def token_ids(text: Column, ids: Ids) -> Column:
 def counted(rows: DataFrame, keep: list[str], tokenizers: Sequence[Tokenizer]) -> DataFrame:
     """keep, tokenizer, tokens, unknown, words, chars of rows(keep, lang, text); keep must have lang.
 
-    All tokenizers read a batch of texts in one pass.
+    Tokenizers that count as columns do; the others read a batch of texts in one pass, ids of one text at a time.
     """
-    schema = ArrayType(LongType())
+    slow = [t for t in tokenizers if t.count is None or t.unknown is not None]
 
-    @F.pandas_udf(schema)
+    @F.pandas_udf(ArrayType(LongType()))
     def counts(texts: pd.Series, langs: pd.Series) -> pd.Series:
         out = []
         for text, lang in zip(texts.fillna(""), langs, strict=True):
             row: list[int] = []
-            for t in tokenizers:
+            for t in slow:
                 ids = t.of(lang)(text)
                 row += [len(ids), 0 if t.unknown is None else ids.count(t.unknown)]
             out.append(row)
         return pd.Series(out)
 
-    t = F.col("text")
-    rows = rows.select(*keep, counts("text", "lang").alias("__c"), T.count_words(F.coalesce(t, F.lit(""))).alias("words"), T.count_chars(F.coalesce(t, F.lit(""))).alias("chars"))
-    each = F.explode(F.array(*(F.struct(F.lit(x.name).alias("tokenizer"), F.get("__c", F.lit(2 * k)).alias("tokens"), F.get("__c", F.lit(2 * k + 1)).alias("unknown")) for k, x in enumerate(tokenizers)))).alias("e")
-    return rows.select(*keep, each, "words", "chars").select(*keep, "e.*", "words", "chars")
+    text = F.coalesce(F.col("text"), F.lit(""))
+
+    def of(t: Tokenizer) -> Column:
+        if t not in slow:
+            return F.struct(F.lit(t.name).alias("tokenizer"), t.count(text).cast("long").alias("tokens"), F.lit(0).cast("long").alias("unknown"))
+        k = 2 * slow.index(t)
+        return F.struct(F.lit(t.name).alias("tokenizer"), F.get("__c", F.lit(k)).alias("tokens"), F.get("__c", F.lit(k + 1)).alias("unknown"))
+
+    if slow:
+        rows = rows.select(*keep, *(["text"] if "text" not in keep else []), counts("text", "lang").alias("__c"))
+    rows = rows.select(*keep, F.array(*map(of, tokenizers)).alias("__e"), T.count_words(text).alias("words"), T.count_chars(text).alias("chars"))
+    return rows.select(*keep, F.explode("__e").alias("e"), "words", "chars").select(*keep, "e.*", "words", "chars")
 
 
 def _ratio(a: str, b: str) -> Column:

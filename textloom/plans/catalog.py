@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -375,7 +376,7 @@ def pair_ratios(spark, sf_dir):
 def tokenizer_study(spark, sf_dir):
     pairs = _turn_pairs(spark, sf_dir)
     documents = pairs.select(F.get(F.split("pair_id", "-"), F.lit(0)).alias("doc_id"), "lang", "text")
-    return tokens.study(pairs, pairs, documents, [tokens.WORDS, tokens.CHARACTERS, tokens.Tokenizer("bytes", tokens.BYTES.ids, price=(0.5, 1.5), max_length=512)])
+    return tokens.study(pairs, pairs, documents, [tokens.WORDS, tokens.CHARACTERS, replace(tokens.BYTES, price=(0.5, 1.5), max_length=512)])
 
 
 @query(r"""WITH k AS (SELECT doc_id, text, len(list_filter(string_split_regex(text, '\s+'), lambda x: x <> '')) AS n, contains(text, 'the') OR contains(text, 'and') AS has FROM documents),
