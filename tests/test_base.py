@@ -378,6 +378,14 @@ def test_texts_are_cut_once_and_parts_count_alike(monkeypatch):
     assert metrics.bleu_counts_of([], []) == metrics.chrf_counts_of([], []) == []
 
 
+def test_scores_are_dealt_to_all_cores(spark, sf_dir):
+    rows = spark.range(10, numPartitions=2)
+    tasks = 3 * spark.sparkContext.defaultParallelism
+    assert files.dealt(rows).rdd.getNumPartitions() == tasks and sorted(r["id"] for r in files.dealt(rows).collect()) == list(range(10))
+    assert files.dealt(spark.range(10, numPartitions=tasks + 1)).rdd.getNumPartitions() == tasks + 1
+    assert f"RoundRobinPartitioning({tasks})" in catalog.QUERIES["corpus_scores"](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+
+
 def test_metrics(spark):
     assert metrics.bleu(metrics.bleu_counts("a b c d e", "a b c d e")) == pytest.approx(100)
     assert metrics.chrf(metrics.chrf_counts("Hello, world", "Hello, world")) == pytest.approx(100)

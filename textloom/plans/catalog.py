@@ -493,7 +493,8 @@ def alignment_report(spark, sf_dir):
 
 @query()
 def corpus_scores(spark, sf_dir):
-    said = segment.split_sentences(segment.unwrap(_docs(spark, sf_dir))).select(F.col("sentence").alias("ref"), F.split("sentence", " ").alias("w"))
+    docs = files.dealt(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+    said = segment.split_sentences(segment.unwrap(docs)).select(F.col("sentence").alias("ref"), F.split("sentence", " ").alias("w"))
     kept = {"identity": F.col("ref"), "every_fourth_dropped": F.array_join(F.filter("w", lambda x, i: i % 4 != 3), " "), "first_part": F.array_join(F.slice("w", F.lit(1), F.ceil(F.size("w") * 0.6).cast("int")), " ")}
     systems = F.explode(F.array(*(F.struct(F.lit(name).alias("system"), hyp.alias("hyp")) for name, hyp in kept.items()))).alias("s")
     return metrics.corpus_scores(said.select("ref", systems).select("s.system", "s.hyp", "ref"))

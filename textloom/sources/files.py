@@ -24,6 +24,12 @@ def spread(rows: DataFrame) -> DataFrame:
     return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism) if size < SMALL_BYTES else rows
 
 
+def dealt(rows: DataFrame, each: int = 3) -> DataFrame:
+    """rows, dealt to so many tasks for each core where they come in fewer: for work on a row that takes far longer than to send it."""
+    tasks = each * rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(tasks) if rows.rdd.getNumPartitions() < tasks else rows
+
+
 def text_documents(spark: SparkSession, path: str) -> DataFrame:
     """doc_id (the file's stem) and text of whole files, normalised; a byte-order mark goes."""
     rows = spark.read.text(path, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+)\.[^./]+$", 1).alias("doc_id"), F.col("value").alias("text"))
